@@ -4,21 +4,100 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import byte_bpe, fm_quality, html_text, line_dedup, media, ngram_quality, packing, surrogates, token_files
 from .common import table
 from .ngram_join import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Fixed value: the end-of-text id of word_bpe_49k.json.
+END_OF_TEXT = 49407
+#: A production job takes its own from where it keeps secrets.
+SURROGATE_KEY = "surrogates of the test tables"
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return out.select("doc_id", F.col("_entities").alias("n_entities"), "text")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_token_counts(table(spark, sf_dir, "documents"), WORD_BPE, END_OF_TEXT).select("doc_id", "n_tokens")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_jaccard,)}
+    ops = (op1_html_extraction, op2_ngram_jaccard, op3_best_fit_packing, op4_line_dedup, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_media_columns)
+    return {f.__name__: f for f in ops}
+
+
+#: Lines of the whole table against each other: equal ones by their text, near ones by length and edit distance.
+_OP4 = r"""
+WITH cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM cut WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), lines AS (
+  SELECT doc_id, pos, line, lower(trim(line, ' ' || chr(9) || chr(13))) AS norm FROM pieces
+), classes AS (
+  SELECT norm, length(norm) AS n, min({'doc_id': doc_id, 'pos': pos}) AS first FROM lines WHERE length(norm) >= 24 GROUP BY norm
+), sides AS (
+  SELECT norm, n, first, n + d AS m FROM classes, (VALUES (-1), (0), (1)) AS t(d)
+), near AS (
+  SELECT DISTINCT y.norm FROM sides y JOIN classes x ON x.n = y.m
+  WHERE x.first < y.first AND levenshtein(x.norm, y.norm) <= 1
+), judged AS (
+  SELECT l.doc_id, l.pos, l.line,
+    c.norm IS NOT NULL AND (c.first <> {'doc_id': l.doc_id, 'pos': l.pos} OR l.norm IN (SELECT norm FROM near)) AS gone
+  FROM lines l LEFT JOIN classes c ON c.norm = l.norm
+), rebuilt AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL WHEN r.doc_id IS NULL THEN sha256(d.text) ELSE sha256(r.text) END AS text_sha256
+FROM documents d LEFT JOIN rebuilt r USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": _OP4}
