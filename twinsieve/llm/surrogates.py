@@ -136,12 +136,16 @@ def surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Column
     check = F.pmod(_luhn(normal, n, 1) - _luhn(F.concat(body, F.lit("0")), n, 2), F.lit(10)).cast("string")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + byte(i) % 254).cast("string")), ".")
 
+    def syllables(sounds: Column) -> Column:
+        """Two, and one more for every eight attempts."""
+        count = F.sequence(F.lit(0), 1 + F.floor(attempt / 8).cast("int"))
+        return F.array_join(F.transform(count, lambda i: F.get(sounds, byte(i) % F.size(sounds))), "")
+
     out = F.when(kind == "card", F.concat(body, check)).when(kind == "ip", octets)
     for script, (first, vowels, endings) in SOUNDS.items():
         sounds = F.array(*[F.lit(a + b) for a in first for b in vowels])
         for role, last in endings.items():
-            syllables = F.array_join(F.transform(F.sequence(F.lit(0), 1 + F.floor(attempt / 8).cast("int")), lambda i, s=sounds: F.get(s, byte(i) % F.size(s))), "")
-            name = F.initcap(F.concat(syllables, F.get(F.array(*map(F.lit, last)), byte(F.lit(15)) % len(last))))
+            name = F.initcap(F.concat(syllables(sounds), F.get(F.array(*map(F.lit, last)), byte(F.lit(15)) % len(last))))
             out = out.when(kind == f"name-{script}-{role}", name)
     return out.otherwise(made)
 
