@@ -1 +1 @@
-"""twinsieve.functions"""
+"""Column expressions: vectors, scores, text, records."""
