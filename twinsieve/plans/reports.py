@@ -53,7 +53,7 @@ def first_of(*columns: Column) -> Column:
 def energy(samples: DataFrame, group: str, ts: str, watts: str) -> DataFrame:
     """(group, joules, seconds): the area under the power samples, by trapezoids."""
     w = Window.partitionBy(group).orderBy("t", "p")
-    s = samples.select(group, F.unix_micros(F.col(ts)).alias("t"), F.col(watts).alias("p"))
+    s = samples.select(group, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(watts).alias("p"))
     s = s.withColumn("dt", (F.col("t") - F.lag("t").over(w)) / 1e6).withColumn("mid", (F.col("p") + F.lag("p").over(w)) / 2)
     return s.groupBy(group).agg(F.coalesce(F.sum(F.col("mid") * F.col("dt")), F.lit(0.0)).alias("joules"), F.coalesce(F.sum("dt"), F.lit(0.0)).alias("seconds"))
 

@@ -8,4 +8,4 @@ from pyspark.sql import functions as F
 
 def windowed(samples: DataFrame, ts: str, value: str, group: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Mean and number of samples in tumbling windows; later than `late` is dropped from a stream."""
-    return samples.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), group).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), group, "n", "mean")
+    return samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), group).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), group, "n", "mean")
