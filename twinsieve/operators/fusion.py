@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import EPS
@@ -47,6 +47,10 @@ def autonomy(weights: DataFrame, eps: float = EPS) -> DataFrame:
     return union(G.present(weights.select("i", "j", w.alias("w"))))
 
 
+def _mixed(share: float) -> Column:
+    return F.zip_with("v", "u", lambda p, q: share * p + (1 - share) * q)
+
+
 def wavelet_latent(image: DataFrame, text: DataFrame, probes: DataFrame, dim: int, scales: list[int], mode: str = "fixed_per_scale", temperature: float = 1.0, sparse: float = 0.01, sym: float = 1.0, k: int | None = 64, threshold: float = 0.0, eps: float = EPS) -> DataFrame:
     """Edges of either graph, weighed by how alike the mixed multi-scale responses of their ends are.
 
@@ -66,7 +70,7 @@ def wavelet_latent(image: DataFrame, text: DataFrame, probes: DataFrame, dim: in
             share = global_confidences(temperature * ca, temperature * cb, 1.0)[0]
         elif mode != "fixed_per_scale":
             raise ValueError(f"unknown weights: {mode}")
-        mixed = x.join(y.withColumnRenamed("v", "u"), "i").select("i", l2(F.zip_with("v", "u", lambda p, q, c=share: c * p + (1 - c) * q), eps).alias("v"))
+        mixed = x.join(y.withColumnRenamed("v", "u"), "i").select("i", l2(_mixed(share), eps).alias("v"))
         own = keys.join(mixed.withColumnRenamed("v", "_a"), "i").join(mixed.select(F.col("i").alias("j"), F.col("v").alias("_b")), "j").select("i", "j", unit(dot(F.col("_a"), F.col("_b"))).alias("s"))
         scored = own if scored is None else scored.unionByName(own)
     edges = scored.groupBy("i", "j").agg(F.avg("s").alias("s"))
