@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from twinsieve.session import reachable
+
 #: Fixed value: the white space that separates words, as bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text hashed at a time; bounds the working arrays of a task.
@@ -16,10 +19,10 @@ SLICE_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that go to Python workers by rows and bytes."""
+    """Bound the Arrow batches that go to Python workers by rows and bytes, and let workers find the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    return spark
+    return reachable(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, grams, mix, per_batch, text_bytes, tune, words_of
 from .components import components
-from .signature_tree import BITS, Tree, join, signature
+from .signature_tree import Tree, halved, join, signature, width
 
 WORDS = 5
 BUCKETS = 1 << 20
@@ -120,20 +120,21 @@ def _prefixes(n: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in batches:
-            tokens, rows = [], []
+            tokens, rows, places = [], [], []
             for k, own in enumerate(shingle_sets(batch.column(1), n)):
                 if len(own):
                     m = len(own) - -(-num * len(own) // den) + 1
                     weight = counts[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    if m < len(own):
-                        cut = np.partition(weight, m - 1)[m - 1]
-                        low, ties = np.flatnonzero(weight < cut), np.flatnonzero(weight == cut)
-                        # own is sorted by hash, so the first ties are those of the least hash
-                        own = np.concatenate([own[low], own[ties[: m - len(low)]]])
-                    tokens.append(own.view(np.int64))
-                    rows.append(np.full(len(own), k, dtype=np.int32))
+                    cut = np.partition(weight, m - 1)[m - 1]
+                    low, ties = np.flatnonzero(weight < cut), np.flatnonzero(weight == cut)
+                    # own is sorted by hash, so the first ties are those of the least hash
+                    first = np.sort(np.concatenate([low, ties[: m - len(low)]]))
+                    first = first[np.argsort(weight[first], kind="stable")]
+                    tokens.append(own[first].view(np.int64))
+                    rows.append(np.full(m, k, dtype=np.int32))
+                    places.append(np.arange(m, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), batch.column(0).take(pa.array(np.concatenate(rows)))], names=["token", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))], names=["token", "id", "place"])
 
     return run
 
@@ -165,23 +166,36 @@ def _cells(num: int, den: int):
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts).combine_chunks()
-        ids, comp, sizes, side = (t.column(k).to_numpy() for k in ("id", "comp", "n", "side"))
+        ids, comp, sizes, place, side = (t.column(k).to_numpy() for k in ("id", "comp", "n", "place", "side"))
         ci, cj = t.column("ci")[0].as_py(), t.column("cj")[0].as_py()
-        bits = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        sig = t.column("sig").to_pylist()
+        wide = width(sizes)
         found = []
-        if ci == cj:
-            sets = ((np.arange(len(ids)), None),)
-        else:
-            sets = ((np.flatnonzero(side == ci), np.flatnonzero(side == cj)),)
-        for x, y in sets:
-            if not len(x) or (y is not None and not len(y)):
-                continue
-            other = x if y is None else y
-            for i, j in join(Tree(sizes[x], bits[x]), None if y is None else Tree(sizes[y], bits[y]), num, den):
-                i, j = x[i], other[j]
-                far = comp[i] != comp[j]
-                if far.any():
-                    found.append((ids[i[far]], ids[j[far]]))
+        trees: dict[tuple[int, int, bool], tuple[np.ndarray, Tree] | None] = {}
+
+        def tree(w: int, own: int, half: bool) -> tuple[np.ndarray, Tree] | None:
+            """Rows of one width and side, with their bitmaps as they are or halved."""
+            if (w, own, half) not in trees:
+                at = np.flatnonzero((wide == w) & (side == own))
+                bits = np.frombuffer(b"".join([sig[k] for k in at]), dtype=np.uint64).reshape(len(at), -1) if len(at) else None
+                trees[w, own, half] = None if bits is None else (at, Tree(sizes[at], halved(bits) if half else bits))
+            return trees[w, own, half]
+
+        def meet(x: tuple[np.ndarray, Tree] | None, y: tuple[np.ndarray, Tree] | None) -> None:
+            if x is None or y is None:
+                return
+            for i, j in join(x[1], None if x is y else y[1], num, den):
+                i, j = x[0][i], y[0][j]
+                left = np.minimum(sizes[i] - place[i], sizes[j] - place[j])
+                keep = (comp[i] != comp[j]) & ((num + den) * left >= num * (sizes[i] + sizes[j]))
+                if keep.any():
+                    found.append((ids[i[keep]], ids[j[keep]]))
+
+        for w in np.unique(wide).tolist():
+            meet(tree(w, ci, False), tree(w, cj, False))
+            meet(tree(w, ci, False), tree(w + 1, cj, True))
+            if ci != cj:
+                meet(tree(w, cj, False), tree(w + 1, ci, True))
         if not found:
             return None
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -278,14 +292,16 @@ class JaccardJoin:
             tokens = [own.tobytes() for own in shingle_sets(batch.column(1), n)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
-        named = self.texts.where("id is not null").withColumn("at", place).mapInArrow(per_batch(sets), "id long, tokens binary")
-        named = self.scratch.write(named.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        named = self.scratch.write(self.texts.where("id is not null").withColumn("at", place).mapInArrow(per_batch(sets), "id long, tokens binary"))
         count = pairs.groupBy("a").agg(F.count("*").alias("c"))
         dealt = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / 256)).alias("salt"), "b")
-        members = dealt.join(named, dealt.b == named.id).select("a", "salt", "b", "tokens")
-        leaders = dealt.select("a", "salt").distinct().join(named, F.col("a") == named.id).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
-        rows = leaders.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return self.scratch.write(rows.mapInArrow(_confirm(self.num, self.den), "a long, b long"))
+        wanted = dealt.select(F.col("b").alias("id"), "a", "salt", "b").unionByName(dealt.select(F.col("a").alias("id"), "a", "salt").distinct().withColumn("b", F.lit(None).cast("long")))
+        rows = wanted.join(named, "id").select("a", "salt", "b", "tokens").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        links = self.scratch.write(rows.mapInArrow(_confirm(self.num, self.den), "a long, b long"))
+        for used in (named, pairs):
+            self.scratch.drop(used)
+        self.scratch.sweep()
+        return links
 
     def run(self) -> DataFrame:
         num, den = self.num, self.den
@@ -309,13 +325,14 @@ class JaccardJoin:
             comp = components(links, self.scratch)
 
         order = self.spark.sparkContext.broadcast(bucket_counts(described).astype(np.int64))
-        tokens = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, num, den, order), "token long, id long")
-        tokens = self.scratch.write(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long"))
+        tokens = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, num, den, order), "token long, id long, place int")
+        tokens = self.scratch.write(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place int"))
+        self.scratch.sweep()
         rep = classes.select(F.col("rep").alias("id"), "n", "sig").join(comp, "id", "left").select("id", "n", "sig", F.coalesce("comp", "id").alias("comp"))
         tokens = tokens.join(rep.select("id", "comp"), "id").distinct()
         mixed = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("c") / self.cell).alias("m"))
         blocks = tokens.join(mixed, "token").join(rep.drop("comp"), "id").withColumn("side", F.pmod(F.xxhash64("id"), "m"))
-        blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("token", F.least("side", "o").alias("ci"), F.greatest("side", "o").alias("cj"), "side", "id", "comp", "n", "sig")
+        blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("token", F.least("side", "o").alias("ci"), F.greatest("side", "o").alias("cj"), "side", "id", "comp", "n", "place", "sig")
         found = blocks.repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj").mapInArrow(_cells(num, den), "a long, b long").distinct()
         links = links.unionByName(self.confirm(found))
         comp = components(links, self.scratch)

@@ -7,16 +7,29 @@ import numpy as np
 from .common import mix
 
 FANOUT = 16
-BITS = 1024
+#: Least and greatest width of a bitmap, as powers of two of bits.
+LEAST, MOST = 7, 15
+
+
+def width(sizes: np.ndarray) -> np.ndarray:
+    """Power of two of bits for sets of these sizes: more than one bit an element, up to MOST."""
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) + 1)).astype(np.int64), LEAST, MOST)
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap of BITS bits with a bit for every token."""
-    flags = np.zeros(BITS, dtype=np.uint8)
-    flags[(mix(tokens) >> np.uint64(54)).astype(np.int64)] = 1
+    """Bitmap with a bit for every token, of the width for their number."""
+    w = int(width(np.array([len(tokens)]))[0])
+    flags = np.zeros(1 << w, dtype=np.uint8)
+    flags[(mix(tokens) >> np.uint64(64 - w)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()
 
 
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width: bits 2k and 2k + 1 become bit k."""
+    flags = np.unpackbits(bits.view(np.uint8), axis=1)
+    return np.packbits(flags.reshape(len(flags), -1, 2).max(axis=2), axis=1).view(np.uint64)
+
+
 class Tree:
     """Levels of nodes over rows sorted by size and bitmap; level 0 holds the rows.
 
