@@ -99,5 +99,26 @@ FROM documents d LEFT JOIN rebuilt r USING (doc_id)
 """
 
 
+#: Sets of runs of five words, all pairs that share one, and what their links reach.
+_OP2 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM words
+), elements AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM reach r JOIN both_ways l ON l.x = r.x
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id FROM sets s JOIN (SELECT x, min(c) AS c FROM reach GROUP BY x) r ON r.x = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4}
+    return {"op2_ngram_jaccard": _OP2, "op4_line_dedup": _OP4}
