@@ -50,13 +50,12 @@ def _key(line: Column, number: int, length: Column, start: Column, size: Column)
 
 
 def _beside(line: Column, n: Column, length: Column, start: Column, size: Column) -> Column:
-    """Hashes of the first and last quarter of what is beside a segment at either end of a line, as the halves of a long."""
-    rest = F.when(start == 0, line.substr(size + 1, n)).otherwise(line.substr(F.lit(1), start))
+    """Hashes of the first and last quarter of what is beside a segment at either end of a line, as the halves of an int."""
     quarter = F.floor((length - size) / 4).cast("int")
-    low = F.lit(0xFFFFFFFF).cast("long")
-    first = F.xxhash64(rest.substr(F.lit(1), quarter)).bitwiseAND(low)
-    last = F.xxhash64(rest.substr(F.length(rest) - quarter + 1, quarter)).bitwiseAND(low)
-    return F.shiftleft(first, 32).bitwiseOR(last)
+    first = line.substr(F.when(start == 0, size + 1).otherwise(F.lit(1)), quarter)
+    last = line.substr(F.when(start == 0, n).otherwise(start) - quarter + 1, quarter)
+    low = F.lit(0xFFFF)
+    return F.shiftleft(F.hash(first).bitwiseAND(low), 16).bitwiseOR(F.hash(last).bitwiseAND(low))
 
 
 def filed(line: Column, n: Column, edits: int) -> Column:
@@ -65,7 +64,7 @@ def filed(line: Column, n: Column, edits: int) -> Column:
 
 
 def looked_up(line: Column, n: Column, edits: int) -> Column:
-    """What a line looks up, for its own length and those up to `edits` below; null where out of bounds."""
+    """What a line looks up, for its own length (`same`) and those up to `edits` below; null where out of bounds."""
     out = []
     for less in range(edits + 1):
         length = n - less
@@ -75,7 +74,7 @@ def looked_up(line: Column, n: Column, edits: int) -> Column:
             for move in range(low, high + 1):
                 at = s + move
                 fits = (at >= 0) & (at + z <= n)
-                out.append(F.when(fits, F.struct(_key(line, i, length, at, z).alias("key"), _beside(line, n, length, at, z).alias("beside"))))
+                out.append(F.when(fits, F.struct(_key(line, i, length, at, z).alias("key"), _beside(line, n, length, at, z).alias("beside"), F.lit(less == 0).alias("same"))))
     return F.array(*out)
 
 
@@ -184,12 +183,12 @@ class LineJoin:
         classes = self.scratch.write(classes.select("h", "g", "copies", "first.*"))
 
         x = classes.select(F.col("id").alias("xi"), F.col("pos").alias("xp"), F.explode("filed").alias("f")).select("xi", "xp", "f.key", F.col("f.beside").alias("xb"))
-        y = classes.select(F.col("id").alias("yi"), F.col("pos").alias("yp"), F.explode("sought").alias("s")).where("s is not null").select("yi", "yp", "s.key", F.col("s.beside").alias("yb"))
-        apart = (F.col("xi") != F.col("yi")) | (F.col("xp") != F.col("yp"))
+        y = classes.select(F.col("id").alias("yi"), F.col("pos").alias("yp"), F.explode("sought").alias("s")).where("s is not null").select("yi", "yp", "s.key", F.col("s.beside").alias("yb"), "s.same")
+        x_first = (F.col("xi") < F.col("yi")) | ((F.col("xi") == F.col("yi")) & (F.col("xp") < F.col("yp")))
+        apart = x_first | ~F.col("same")  # lines of one length find each other both ways
         if edits == 1:
             differ = F.col("xb").bitwiseXOR(F.col("yb"))
-            apart = apart & ((F.shiftrightunsigned(differ, 32) == 0) | (differ.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) == 0))
-        x_first = F.struct("xi", "xp") < F.struct("yi", "yp")
+            apart = apart & ((F.shiftrightunsigned(differ, 16) == 0) | (differ.bitwiseAND(F.lit(0xFFFF)) == 0))
         pairs = x.join(y, "key").where(apart)
         early, late = F.struct(F.col("xi").alias("id"), F.col("xp").alias("pos")), F.struct(F.col("yi").alias("id"), F.col("yp").alias("pos"))
         pairs = pairs.select(F.when(x_first, early).otherwise(late).alias("early"), F.when(x_first, late).otherwise(early).alias("late")).distinct()
