@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from .chunks import TAIL, Memo, groups, windows
 from .common import tune
 
-MEMO = 300_000
-
 
 def byte_characters() -> list[str]:
     """The character for each byte: itself where it prints, else the next free one from 256."""
@@ -55,60 +54,72 @@ def build(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     return tokenizer
 
 
-class _Memo(dict):
-    """Chunk -> (ids as little-endian unsigned 32-bit numbers, the same in decimal, character offsets of the ids)."""
+Answer = tuple[bytes, str, bytes, int]
+
+
+def split(chunk: str) -> list[str]:
+    """Parts of a chunk that are matches of their own: a line feed between non-spaces, letters, and marks after letters."""
+    head, line, tail = chunk.partition("\n")
+    if head and line and tail and not head[-1].isspace() and not tail[0].isspace():
+        return [*split(head), "\n", *split(tail)]
+    head = chunk.rstrip(TAIL)
+    return [head, chunk[len(head) :]] if len(head) < len(chunk) and head.removeprefix(" ").isalpha() else [chunk]
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def ask(self, chunk: str) -> tuple[bytes, str, bytes]:
-        got = self.tokenizer.encode(chunk, add_special_tokens=False)
-        ids = got.ids
-        return pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids)), pack(f"<{len(ids)}I", *(a for a, _ in got.offsets))
+def join(parts: list[Answer]) -> Answer:
+    at, offsets = 0, []
+    for p in parts:
+        offsets.append((np.frombuffer(p[2], "<u4") + np.uint32(at)).tobytes())
+        at += p[3]
+    return b"".join([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join(offsets), at
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str, bytes]:
-        head, line, tail = chunk.partition("\n")
-        if line and tail and not head[-1:].isspace() and not tail[0].isspace() and head:
-            # a line feed between non-spaces is a match of its own
-            parts = self[head], self["\n"], self[tail]
-            at = (0, len(head), len(head) + 1)
-            out = b"".join(p[0] for p in parts), ",".join(p[1] for p in parts if p[1]), b"".join((np.frombuffer(p[2], "<u4") + np.uint32(a)).tobytes() for p, a in zip(parts, at, strict=True))
+
+def chunks(text: str) -> list[str]:
+    """A text cut before the spaces that follow a non-space; no match reaches over such a place."""
+    if "  " not in text:
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    out = []
+    held, *rest = text.split(" ")
+    for piece in rest:
+        if held and not held[-1].isspace():
+            out.append(held)
+            held = " " + piece
         else:
-            out = self.ask(chunk)
-        if len(chunk) <= 48:
-            self[chunk] = out
-        return out
+            held = held + " " + piece
+    return [*out, held]
 
 
 class ByteBpe:
+    """Answers for chunks: ids as little-endian unsigned 32-bit numbers, the same in decimal, the character at which
+    each starts, and the number of characters."""
+
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.memo = _Memo(build(ranks, pattern))
+        self.tokenizer = build(ranks, pattern)
+        self.memo = Memo(split, self.ask, join)
         self.bytes_of = {r: t for t, r in ranks.items()}
 
-    def chunks(self, text: str) -> list[str]:
-        if "  " in text:
-            # runs of spaces: cut where a space follows a non-space
-            out = []
-            pieces = text.split(" ")
-            held = pieces[0]
-            for piece in pieces[1:]:
-                if held and not held[-1].isspace():
-                    out.append(held)
-                    held = " " + piece
-                else:
-                    held = held + " " + piece
-            return [*out, held]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def ask(self, texts: list[str]) -> list[Answer]:
+        out = []
+        for t, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            ids = e.ids
+            out.append((pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids)), pack(f"<{len(ids)}I", *[a for a, _ in e.offsets]), len(t)))
+        return out
 
-    def encode(self, text: str) -> list[tuple[bytes, str, bytes]]:
-        if not text:
-            return []
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        return list(map(self.memo.__getitem__, self.chunks(text)))
+    def batch(self, texts: list[str | None]) -> Iterator[Iterator[list[Answer]]]:
+        """For each text the answers for its chunks, in one list or, where it is long, in several."""
+        texts = [t or "" for t in texts]
+        for own in groups(texts):
+            if len(own) == 1:
+                yield (self.memo.fetch(chunks(w)) for w in windows(texts[own[0]]) if w)
+                continue
+            cut = [chunks(texts[k]) if texts[k] else [] for k in own]
+            got = self.memo.fetch([c for cs in cut for c in cs])
+            at = 0
+            for cs in cut:
+                yield iter([got[at : at + len(cs)]] if cs else [])
+                at += len(cs)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -129,15 +140,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = byte_bpe(path, pattern)
         for batch in batches:
             ids, offsets = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                parts, at = bpe.encode(text), 0
-                own = []
-                for chunk, p in zip(bpe.chunks(text) if text else [], parts, strict=True):
-                    own.append(np.frombuffer(p[2], "<u4").astype(np.int64) + at)
-                    at += len(chunk)
-                ids.append(np.frombuffer(b"".join(p[0] for p in parts), "<i4"))
-                offsets.append(np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32))
+            for lists in bpe.batch(batch.column(1).to_pylist()):
+                answers = [a for own in lists for a in own]
+                whole = join(answers)
+                ids.append(np.frombuffer(whole[0], "<i4"))
+                offsets.append(np.frombuffer(whole[2], "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int32()))], names=[id_col, "ids", "offsets"])
 
     tune(docs.sparkSession)
@@ -164,12 +171,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         sha = hashlib.sha256
         for batch in batches:
             n, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1):
-                parts = bpe.encode(text.as_py() or "")
-                ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
-                n.append(len(ids))
-                ids_sha.append(sha(",".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded_sha.append(sha(bpe.decode(ids.tolist())).hexdigest())
+            for lists in bpe.batch(batch.column(1).to_pylist()):
+                total, ids_digest, decoded = 0, sha(), sha()
+                for own in lists:
+                    ids = np.frombuffer(b"".join([a[0] for a in own]), "<u4")
+                    ids_digest.update((("," if total else "") + ",".join([a[1] for a in own])).encode())
+                    decoded.update(bpe.decode(ids.tolist()))
+                    total += len(ids)
+                n.append(total)
+                ids_sha.append(ids_digest.hexdigest())
+                decoded_sha.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     tune(docs.sparkSession)

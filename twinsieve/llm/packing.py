@@ -40,8 +40,8 @@ def cut(path: str, capacity: int, end_id: int):
         encode = word_ids(path)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            for k, own in enumerate(encode.batch(batch.column(1).to_pylist())):
+                ids = memoryview(own + end)
                 for at in range(0, len(ids), 4 * capacity):
                     own = ids[at : at + 4 * capacity]
                     rows.append(k)

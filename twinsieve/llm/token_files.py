@@ -51,8 +51,8 @@ def write_stream(path: str, eod: int, block: int = BLOCK):
             return pa.RecordBatch.from_arrays([pa.array([file] * m, pa.int32()), pa.array(range(n_block - m, n_block), pa.int64()), pa.array(out, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names) if m else None
 
         for batch in batches:
-            for text in batch.column(1):
-                held += np.frombuffer(encode(text.as_py() or ""), "<u4").astype("<u2").tobytes() + end
+            for own in encode.batch(batch.column(1).to_pylist()):
+                held += np.frombuffer(own, "<u4").astype("<u2").tobytes() + end
                 if len(held) > 64 * block and (got := full(2 * block)):
                     yield got
             m = batch.num_rows

@@ -1,66 +1,59 @@
 """Ids of whole texts by the tokenizers library, remembered by chunk.
 
 The vocabulary of word_bpe_49k.json drops white space and never merges across it, so the
-ids of a text are those of its chunks between white space, one after the other. A
-worker asks the library once for each distinct chunk it meets and keeps the answers up
-to a fixed number.
+ids of a text are those of its chunks between white space, one after the other.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from struct import pack
 
 from tokenizers import Tokenizer
 
-#: Entries kept by a worker before it starts anew.
-MEMO = 400_000
+from .chunks import TAIL, Memo, groups, windows
+
 #: Text with these is given to the library whole: the separators that str.split() takes and the vocabulary's pattern does not, and a letter whose lower case looks at its neighbours.
 _WHOLE = re.compile("[\x1c-\x1fΣ]")
-_TAIL = ".,;:!?"
-
-
-class _Memo(dict):
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.parts: dict[str, bytes] = {}
-
-    def ask(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
 
-    def part(self, text: str) -> bytes:
-        out = self.parts.get(text)
-        if out is None:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            out = self.parts[text] = self.ask(text)
-        return out
 
-    def __missing__(self, chunk: str) -> bytes:
-        head = chunk.rstrip(_TAIL)
-        # letters alone, then marks: two matches of the vocabulary's pattern, in either case of the letters
-        out = self.part(head.lower()) + (self.part(chunk[len(head) :]) if len(head) < len(chunk) else b"") if head.isalpha() else self.ask(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+def split(chunk: str) -> list[str]:
+    """Letters, in lower case, and the marks after them: two matches of the vocabulary's pattern."""
+    head = chunk.rstrip(TAIL)
+    if not head.isalpha():
+        return [chunk]
+    return [head.lower(), chunk[len(head) :]] if len(head) < len(chunk) else [head.lower()]
 
 
 class WordIds:
     def __init__(self, path: str):
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.memo = _Memo(tokenizer)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.memo = Memo(split, self.ask, b"".join)
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit numbers; null: none."""
+        texts = [t or "" for t in texts]
+        for own in groups(texts):
+            if len(own) == 1:
+                yield self(texts[own[0]])
+                continue
+            chunks = [[] if _WHOLE.search(texts[k]) else texts[k].split() for k in own]
+            got = self.memo.fetch([c for cs in chunks for c in cs])
+            at = 0
+            for k, cs in zip(own, chunks, strict=True):
+                yield b"".join(got[at : at + len(cs)]) if cs else self(texts[k])
+                at += len(cs)
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
         if _WHOLE.search(text):
-            return self.memo.ask(text)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, text.split()))
+            return self.ask([text])[0]
+        return b"".join(b"".join(self.memo.fetch(w.split())) for w in windows(text))
 
 
 @functools.lru_cache(maxsize=2)
