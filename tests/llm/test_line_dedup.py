@@ -88,3 +88,24 @@ def test_keep_and_native_plan(spark):
     plan = kept._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert dedup_lines(docs.where(F.lit(False))).collect() == []
+
+
+def test_short_lines(spark):
+    docs = spark.createDataFrame([(1, "les.\nA line that is long enough to count\n--\n\n"), (2, "Les. \na line that is long enough to count!\n--\n\nlex."), (3, "a line that is long enough to count\nles."), (4, "les.\nles.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(docs, short=True).collect()}
+    assert got == {1: "les.\nA line that is long enough to count\n--\n\n", 2: "--\n\nlex.", 3: "", 4: ""}
+    assert sorted(r.doc_id for r in keep(docs, short=True).collect()) == [1, 2]
+
+
+def test_short_lines_sql(spark, sf_dir):
+    import duckdb
+
+    from twinsieve.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()["op4_line_dedup_short"]).select("doc_id, n_lines, n_removed, text_sha256").fetchall()
+    got = [tuple(r) for r in queries.op4_line_dedup_short(spark, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    before = sum(r.n_removed for r in queries.op4_line_dedup(spark, sf_dir).collect())
+    assert sum(r[2] for r in got) > before

@@ -2,7 +2,8 @@
 
 A line is a piece of a text between line feeds; lines are compared in lower case without
 the spaces, tabs and carriage returns at their ends. Lines of fewer than `min_chars`
-characters then are left alone. Every other line goes if an equal line stands before it,
+characters then are left alone, or with `short` those of them without a letter or digit;
+the edit join never takes lines of fewer than `min_chars`. Every other line goes if an equal line stands before it,
 in order of (id, position), or if a line within `max_edits` edits of it, anywhere, stands
 before every line equal to it. The rest of the text stays as it is.
 
@@ -158,27 +159,32 @@ def named(df: DataFrame, ids: DataFrame, id_col: str, out: str) -> DataFrame:
     return flagged.select(*df.columns, out)
 
 
+def worded(line: Column) -> Column:
+    return line.rlike(r"[\p{L}\p{N}]")
+
+
 def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
 class LineJoin:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, short: bool = False):
         self.spark = tune(docs.sparkSession)
         self.scratch = Scratch(self.spark)
-        self.docs, self.id_col, self.text_col, self.edits, self.min_chars = docs, id_col, text_col, edits, min_chars
+        self.docs, self.id_col, self.text_col, self.edits, self.min_chars, self.short = docs, id_col, text_col, edits, min_chars, short
 
     def lines(self, docs: DataFrame) -> DataFrame:
         text = docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).where("id is not null and text is not null")
         text = text.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normal(F.col("line")).alias("line"))
-        return text.where(F.length("line") >= self.min_chars)
+        return text.where((F.length("line") >= self.min_chars) | (worded(F.col("line")) if self.short else F.lit(False)))
 
     def removed(self) -> DataFrame:
         """(id, gone): the positions of the lines that go, for each id that loses any."""
         edits = self.edits
         line = F.col("line")
         lines = self.lines(self.docs).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
-        keyed = lines.withColumn("n", F.length("line")).select("id", "pos", "h", "g", filed(line, F.col("n"), edits).alias("filed"), looked_up(line, F.col("n"), edits).alias("sought"))
+        joins = lambda c: F.when(F.col("n") >= self.min_chars, c) if self.short else c
+        keyed = lines.withColumn("n", F.length("line")).select("id", "pos", "h", "g", joins(filed(line, F.col("n"), edits)).alias("filed"), joins(looked_up(line, F.col("n"), edits)).alias("sought"))
         classes = keyed.groupBy("h", "g").agg(F.min(F.struct("id", "pos", "filed", "sought")).alias("first"), F.count("*").alias("copies"))
         classes = self.scratch.write(classes.select("h", "g", "copies", "first.*"))
 
@@ -219,12 +225,12 @@ class LineJoin:
         return same.unionByName(touched)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with repeated lines taken out of the text, and columns _lines and _removed: their numbers before and gone."""
-    return LineJoin(docs, id_col, text_col, max_edits, min_chars).run()
+    return LineJoin(docs, id_col, text_col, max_edits, min_chars, short).run()
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs without repeated lines; a row goes if it lost lines and no word is left."""
-    out = dedup_lines(docs, id_col, text_col)
+    out = dedup_lines(docs, id_col, text_col, short=short)
     return out.where((F.col("_removed") == 0) | F.col(text_col).rlike(r"\S")).select(*docs.columns)

@@ -39,6 +39,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
+def op4_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_line_dedup in which exact repeats of short lines go too."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short=True)
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
     return out.select("doc_id", F.col("_entities").alias("n_entities"), "text")
@@ -65,7 +71,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_html_extraction, op2_ngram_jaccard, op3_best_fit_packing, op4_line_dedup, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_media_columns)
+    ops = (op1_html_extraction, op2_ngram_jaccard, op3_best_fit_packing, op4_line_dedup, op4_line_dedup_short, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_media_columns)
     return {f.__name__: f for f in ops}
 
 
@@ -98,6 +104,9 @@ SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS
 FROM documents d LEFT JOIN rebuilt r USING (doc_id)
 """
 
+#: The same, with every line that has a letter or digit in the classes and those of 24 characters in the near ones.
+_OP4_SHORT = _OP4.replace("WHERE length(norm) >= 24 GROUP BY", r"WHERE length(norm) >= 24 OR regexp_matches(norm, '[\p{L}\p{N}]') GROUP BY").replace("WHERE x.first < y.first AND", "WHERE x.n >= 24 AND y.n >= 24 AND x.first < y.first AND")
+
 
 #: Sets of runs of five words, all pairs that share one, and what their links reach.
 _OP2 = r"""
@@ -121,4 +130,4 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id FROM sets s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _OP2, "op4_line_dedup": _OP4}
+    return {"op2_ngram_jaccard": _OP2, "op4_line_dedup": _OP4, "op4_line_dedup_short": _OP4_SHORT}
