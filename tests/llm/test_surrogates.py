@@ -77,6 +77,14 @@ def test_collisions_are_settled(spark):
     assert len({r.made for r in assign(names, "k", Scratch(spark)).collect()}) == 400
 
 
+def test_short_parts_get_longer(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(i, f"{c}@{c}.com") for i, c in enumerate(letters)], "doc_id long, text string")
+    got = [r.text for r in replace_entities(docs, "k").collect()]
+    assert all(re.fullmatch(r"[a-z][a-z0-9]+@[a-z][a-z0-9]+\.com", t) for t in got)
+    assert len({t.split("@")[0] for t in got}) == 26 and len({t.split("@")[1] for t in got}) == 26
+
+
 def test_native_plan_and_empty(spark):
     docs = spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string")
     plan = replace_entities(docs, "k")._jdf.queryExecution().toString()

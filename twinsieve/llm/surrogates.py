@@ -13,6 +13,8 @@ its first digit and whether its check digit is right, names keep script, case an
 gender that the title gives. Candidates are checked for collisions: no two parts of a
 kind share a surrogate, and no surrogate is itself a part found in the table. A part that
 collides tries again with the next number; the least part keeps the surrogate it shares.
+Local parts, domains, secrets and telephone numbers that still collide after eight attempts
+get longer, a character every four attempts, as short ones have few values; names do too.
 
 Defined cases: null text stays null, empty text empty; texts without a match pass
 unchanged; repeated rows and rows with null ids are treated like others; an empty table
@@ -111,7 +113,7 @@ def _luhn(digits: Column, n: Column, start: int) -> Column:
 def surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Column:
     """The attempt-th candidate for a part: a function of key, kind, part and attempt."""
     n = F.length(normal)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n, F.lit(16)) / 64).cast("int")), lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string"), b.cast("string")), 512)), "")
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(16)) + ATTEMPTS // 4) / 64).cast("int")), lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string"), b.cast("string")), 512)), "")
     byte = lambda i: F.conv(stream.substr(2 * i + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda chars, i: F.lit(chars).substr(1 + byte(i) % len(chars), F.lit(1))
     hexadecimal = normal.rlike("^[0-9a-f:]+$") & kind.isin("secret", "ip6")
@@ -131,7 +133,11 @@ def surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Column
     lead = F.when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
     made = F.concat(normal.substr(F.lit(1), lead), plain.substr(lead + 1, n))
     tail = F.when(kind == "domain", F.length(F.substring_index(normal, ".", -1)) + 1).otherwise(0)
-    made = F.concat(made.substr(F.lit(1), n - tail), normal.substr(n - tail + 1, tail))
+    longer = F.greatest(F.floor(attempt / 4).cast("int") - 1, F.lit(0))
+    extra = lambda i: F.when(kind == "phone", pick("0123456789", i)).when(hexadecimal, pick("0123456789abcdef", i)).otherwise(pick("abcdefghijklmnopqrstuvwxyz0123456789", i))
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(longer, F.lit(1))), lambda k: extra(n + k - 1)), "")
+    more = F.when(kind.isin("local", "domain", "secret", "phone") & (longer > 0), more).otherwise("")
+    made = F.concat(made.substr(F.lit(1), n - tail), more, normal.substr(n - tail + 1, tail))
     body = made.substr(F.lit(1), n - 1)
     check = F.pmod(_luhn(normal, n, 1) - _luhn(F.concat(body, F.lit("0")), n, 2), F.lit(10)).cast("string")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + byte(i) % 254).cast("string")), ".")
@@ -158,7 +164,8 @@ def written_as(kind: Column, written: Column, made: Column) -> Column:
         takes = c.rlike("[0-9A-Za-z]")
         return F.struct(F.when(takes, state["i"] + 1).otherwise(state["i"]).alias("i"), F.concat(state["out"], F.when(takes, made.substr(state["i"], F.lit(1))).otherwise(c)).alias("out"))
 
-    filled = F.aggregate(F.filter(F.split(written, ""), lambda c: c != ""), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), fill)["out"]
+    filled = F.aggregate(F.filter(F.split(written, ""), lambda c: c != ""), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), fill)
+    filled = F.concat(filled["out"], made.substr(filled["i"], F.length(made)))
     shout = kind.startswith("name-") & (F.length(written) > 1) & (written == F.upper(written))
     return F.when(kind.isNull(), written).when(spaced, filled).when(shout, F.upper(made)).otherwise(made)
 
