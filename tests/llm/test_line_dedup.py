@@ -1,16 +1,15 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.llm.line_dedup import close, dedup_lines, keep
+from twinsieve.llm.line_dedup import close, dedup_lines, keep, probes
 
 
-def edits(a, b, most=99):
+def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        if min(row) > most:
-            return most + 1
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
@@ -18,14 +17,23 @@ def edits(a, b, most=99):
     return row[-1]
 
 
-def brute(rows, most, least):
+def is_near(a, b):
+    u, v = re.split(r"[ \t\r]+", a), re.split(r"[ \t\r]+", b)
+    if len(u) >= 8 and len(v) >= 8:
+        n = min(len(u), len(v))
+        most = 1 if n < 18 else 2 if n < 32 else 3
+        return abs(len(u) - len(v)) <= most and edits(u, v) <= most
+    return len(u) < 8 and len(v) < 8 and min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1
+
+
+def brute(rows):
     place = {}
     for i, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         for p, line in enumerate(t.split("\n")):
             n = line.strip(" \t\r").lower()
-            if len(n) >= least:
+            if len(n) >= 24 or re.search(r"[^\W_]", n):
                 place.setdefault(n, (i, p))
-    near = {y for y in place for x in place if place[x] < place[y] and abs(len(x) - len(y)) <= most and edits(x, y, most) <= most}
+    near = {y for y in place for x in place if place[x] < place[y] and is_near(x, y)}
     out = []
     for i, t in rows:
         if i is None or t is None:
@@ -42,45 +50,64 @@ def brute(rows, most, least):
 
 def corpus(seed):
     rng = random.Random(seed)
-    known = ["".join(rng.choices("abcdé ", k=rng.randint(5, 40))) for _ in range(25)]
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(40)]
+    known = [" ".join(rng.choices(words, k=k)) for k in (1, 2, 5, 6, 7, 8, 9, 12, 17, 18, 19, 25, 31, 32, 33, 40, 60) for _ in range(2)]
+    known += ["".join(rng.choices("abcdé", k=k)) for k in (3, 23, 24, 25, 40)] + ["ab " * 30]
     rows = []
-    for i in range(60):
+    for i in range(70):
         lines = []
-        for _ in range(rng.randint(0, 8)):
-            line = list(rng.choice(known))
-            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+        for _ in range(rng.randint(0, 9)):
+            line = rng.choice(known).split(" ")
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 4])):
                 k = rng.randrange(len(line))
-                line[k : k + 1] = rng.choice([[], [rng.choice("abcxyz")], [line[k], rng.choice("xyz")]])
+                line[k : k + 1] = rng.choice([[], [rng.choice(words)], [line[k], rng.choice(words)], [line[k][:-1] + "z"]])
                 line = line or ["q"]
-            lines.append(rng.choice(["", " ", "\t"]) + rng.choice([str.upper, str])("".join(line)) + rng.choice(["", "\r", " "]))
+            lines.append(rng.choice(["", " ", "\t"]) + rng.choice([str.upper, str])(rng.choice([" ", "  "]).join(line)) + rng.choice(["", "\r", " "]))
         rows.append((i, "\n".join(lines)))
-    return rows + [(70, None), (71, ""), (72, "\n\n"), (None, rows[3][1]), (73, "long " * 4000 + "\n" + "long " * 4000), (1, rows[1][1])]
-
-
-@pytest.mark.parametrize("most", [1, 2])
-def test_against_all_pairs(spark, most):
-    rows = corpus(most)
-    docs = spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id long, text string, key string, pos int")
-    got = dedup_lines(docs, max_edits=most, min_chars=10).collect()
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
-    assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted(brute(rows, most, 10), key=key)
-    assert all(r.key == "k" and r.pos == 5 for r in got)
+    return rows + [(80, None), (81, ""), (82, "\n\n--\n--"), (None, rows[3][1]), (83, "long " * 4000 + "\n" + "long " * 4000), (1, rows[1][1])]
+
+
+@pytest.mark.parametrize(("seed", "small"), [(1, 1_000_000), (2, 0)])
+def test_against_all_pairs(spark, seed, small):
+    """Also with no table small enough to be broadcast, and with columns named like those the operator uses."""
+    rows = corpus(seed)
+    names = ["key", "pos", "gone", "_id", "_page", "_in", "line", "row", "all", "left", "_lines"]
+    docs = spark.createDataFrame([(*r, *["k"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = dedup_lines(docs, small=small).collect()
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in got], key=order) == sorted(brute(rows), key=order)
+    assert all(r[n] == "k" for r in got for n in names[:-1])
     for r in got:
         assert r._lines - r._removed == (0 if r.text is None else r.text.count("\n") + 1) or (r.text == "" and r._lines == r._removed)
 
 
+def test_many_near_copies_of_a_line(spark):
+    """A large group under one key goes but for its first line, and so do those that only a later line is near to."""
+    words = [f"w{k}" for k in range(20)]
+    lines = [" ".join([*words[:k], f"x{m}", *words[k + 1 :]]) for m in range(15) for k in range(20)]
+    far = " ".join(words[:10] + [f"y{k}" for k in range(10)])
+    rows = [(0, far), *[(k + 1, t) for k, t in enumerate(lines)]]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, t in got.items() if t] == [0, 1]
+
+
 def test_automaton(spark):
     rng = random.Random(9)
     rows = [("", ""), ("", "a"), ("ab", "ba"), ("abc", "c"), ("aab", "ab")]
     for _ in range(400):
         a = "".join(rng.choices("ab", k=rng.randint(0, 12)))
         rows.append((a, "".join(rng.choices("ab", k=rng.randint(0, 12)))))
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, y string")
+    df = spark.createDataFrame([(i, list(a), list(b)) for i, (a, b) in enumerate(rows)], "i int, x array<string>, y array<string>")
     for most in (1, 2, 3):
-        got = {r.i for r in df.where(close(F.col("x"), F.col("y"), most)).collect()}
+        got = {r.i for r in df.where(close(F.col("x"), F.col("y"), F.lit(most))).collect()}
         assert got == {i for i, (a, b) in enumerate(rows) if edits(a, b) <= most}
 
 
+def test_probes_are_those_of_the_thresholds():
+    assert [len(probes(n, True)) for n in (8, 17, 20, 31, 35)] == [4, 4, 12, 12, 26]
+    assert len(probes(0, False)) == 4
+
+
 def test_keep_and_native_plan(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough to count\nfree"), (2, "A line that is long enough to count"), (3, ""), (4, "short")], "doc_id long, text string")
     kept = keep(docs)
@@ -92,20 +119,6 @@ def test_keep_and_native_plan(spark):
 
 def test_short_lines(spark):
     docs = spark.createDataFrame([(1, "les.\nA line that is long enough to count\n--\n\n"), (2, "Les. \na line that is long enough to count!\n--\n\nlex."), (3, "a line that is long enough to count\nles."), (4, "les.\nles.")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in dedup_lines(docs, short=True).collect()}
+    got = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
     assert got == {1: "les.\nA line that is long enough to count\n--\n\n", 2: "--\n\nlex.", 3: "", 4: ""}
-    assert sorted(r.doc_id for r in keep(docs, short=True).collect()) == [1, 2]
-
-
-def test_short_lines_sql(spark, sf_dir):
-    import duckdb
-
-    from twinsieve.llm import queries
-
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    want = con.sql(queries.oracle_sql()["op4_line_dedup_short"]).select("doc_id, n_lines, n_removed, text_sha256").fetchall()
-    got = [tuple(r) for r in queries.op4_line_dedup_short(spark, sf_dir).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    before = sum(r.n_removed for r in queries.op4_line_dedup(spark, sf_dir).collect())
-    assert sum(r[2] for r in got) > before
+    assert sorted(r.doc_id for r in keep(docs).collect()) == [1, 2]

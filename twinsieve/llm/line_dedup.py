@@ -1,24 +1,37 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
 A line is a piece of a text between line feeds; lines are compared in lower case without
-the spaces, tabs and carriage returns at their ends. Lines of fewer than `min_chars`
-characters then are left alone, or with `short` those of them without a letter or digit;
-the edit join never takes lines of fewer than `min_chars`. Every other line goes if an equal line stands before it,
-in order of (id, position), or if a line within `max_edits` edits of it, anywhere, stands
-before every line equal to it. The rest of the text stays as it is.
-
-The join (Li et al., Pass-Join, 2011): equal lines are first made one class. A line is
-split into max_edits + 1 segments as even as can be; two lines within the threshold share
-one of them. Each class is filed under its segments with their number and its length, and
-looks up the substrings that the multi-match-aware bounds leave for each length up to
-max_edits shorter. For one edit, what is beside the segment must also agree in its first
-or its last quarter. Candidates are verified on their texts by a banded bit-parallel
-automaton: one word of bits, a bit for each diagonal of the band, for every number of
-edits, moved on character by character.
+the spaces, tabs and carriage returns at their ends. Lines without a letter or digit and of
+fewer than `min_chars` characters are left alone. A line goes if a line before it, in order
+of (id, position), equals it or is within the threshold of edits. The rest of the text
+stays as it is.
+
+Edits count words where both lines have `MIN_WORDS` or more: one edit, two from `TWO` words
+of the shorter line on and three from `THREE` words on, so that a changed word is one edit
+whatever its length. Lines of fewer words and at least `min_chars` characters are compared
+by characters, with one edit. Shorter lines go only as exact repeats.
+
+The join (Li et al., Pass-Join, 2011): equal lines are first made one class, whose first
+line stands for it. A line of n symbols is split into threshold + 1 segments as even as
+can be; two lines within the threshold share one of them. Each line is filed under its
+segments with their number and its length, and looks up the runs that the multi-match-aware
+bounds leave for each length up to the threshold shorter. A first pass only counts the
+keys; a second takes the lines of the keys that several lines share. Pairs are not made of
+all the lines of a key: a line first meets the earliest line of its key that agrees in a
+quarter of the sketch (the parity of its symbols by hash, 64 bits, of which an edit turns at
+most two), which settles large groups of near copies by as many tests as lines. What that
+leaves meets the lines before it under the key, in a join whose condition holds the sketches
+against each other. Candidates are verified by a banded bit-parallel automaton: one word
+of bits, a bit for each diagonal of the band, for every number of edits, moved on symbol by
+symbol.
+
+Tables are broadcast only where they were counted and have at most `small` rows; beyond
+that the same joins sort and merge.
 
 Defined cases: null text stays null and empty text empty; rows with a null id keep their
 text; rows with the same id count as one document, and repeated rows are returned as
-often as they come; an empty table gives no rows. Other columns pass through.
+often as they come; an empty table gives no rows. Other columns pass through, whatever their
+names; those called _lines or _removed are replaced.
 """
 
 from __future__ import annotations
@@ -28,62 +41,61 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, tune
 
-MAX_EDITS = 1
 MIN_CHARS = 24
-#: Bits of the bitmap that says which ids a step needs; fixed, whatever the input.
-FILTER_BITS = 1 << 22
-_PAGE = 32768
-
-
-def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each segment of a line; the longer ones come last."""
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts
-    out = []
-    for i in range(parts):
-        extra = F.greatest(longer - (parts - i), F.lit(0))
-        out.append((short * i + extra, short + (F.lit(i) >= parts - longer).cast("int")))
-    return out
+MIN_WORDS, TWO, THREE = 8, 18, 32
+MOST = 3
+#: Rows of numbers that a broadcast table may have.
+SMALL = 1_000_000
+
+
+def allowed(by_word: Column, n: Column) -> Column:
+    """Edits that two lines may be apart of which the shorter has n symbols."""
+    return F.when(~by_word | (n < TWO), 1).when(n < THREE, 2).otherwise(MOST)
 
 
-def _key(line: Column, number: int, length: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, line.substr(start + 1, size))
+def probes(n: int, by_word: bool) -> list[tuple[int, int, int, int]]:
+    """What a line of n symbols is filed under and looks up: (threshold, symbols less, segment, move) of each key.
+
+    The keys of its own segments come first; a line looks up lines that are as long or up to
+    the threshold shorter, whose segments can stand where the multi-match-aware bounds say.
+    """
+    t_of = lambda m: 1 if not by_word or m < TWO else 2 if m < THREE else MOST
+    out = [(t_of(n), 0, i, 0) for i in range(t_of(n) + 1)]
+    for less in range(MOST + 1):
+        t = t_of(n - less)
+        for i in range(t + 1 if less <= t else 0):
+            out += [(t, less, i, move) for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1) if less or move]
+    return out
 
 
-def _beside(line: Column, n: Column, length: Column, start: Column, size: Column) -> Column:
-    """Hashes of the first and last quarter of what is beside a segment at either end of a line, as the halves of an int."""
-    quarter = F.floor((length - size) / 4).cast("int")
-    first = line.substr(F.when(start == 0, size + 1).otherwise(F.lit(1)), quarter)
-    last = line.substr(F.when(start == 0, n).otherwise(start) - quarter + 1, quarter)
-    low = F.lit(0xFFFF)
-    return F.shiftleft(F.hash(first).bitwiseAND(low), 16).bitwiseOR(F.hash(last).bitwiseAND(low))
+def plan_of(by_word: Column, n: Column) -> Column:
+    """The probes of a line, as an array of structs from a constant table."""
+    entry = lambda e: F.struct(*[F.lit(v).alias(k) for k, v in zip(("t", "less", "i", "move"), e, strict=True)])
+    # beyond THREE + MOST words all lines look up the same; number 0 is for lines compared by characters
+    table = F.array(*[F.array(*[entry(e) for e in probes(k, k > 0)]) for k in range(THREE + MOST + 1)])
+    return F.get(table, F.when(by_word, F.least(n, F.lit(THREE + MOST))).otherwise(0))
 
 
-def filed(line: Column, n: Column, edits: int) -> Column:
-    """What a line is filed under: an array of (key, beside)."""
-    return F.array(*[F.struct(_key(line, i, n, s, z).alias("key"), _beside(line, n, n, s, z).alias("beside")) for i, (s, z) in enumerate(segments(n, edits + 1))])
+def key_of(c: Column, s: Column, by_word: Column, n: Column) -> Column:
+    """Key of a probe: hash of a run of symbols with the number and the line length of the segment; null where out of bounds."""
+    length, parts = n - c["less"], c["t"] + 1
+    short = (length / parts).cast("int")
+    first_longer = parts - (length - short * parts)  # the longer segments come last
+    start = short * c["i"] + F.greatest(c["i"] - first_longer, F.lit(0)) + c["move"]
+    size = short + (c["i"] >= first_longer).cast("int")
+    return F.when((start >= 0) & (start + size <= n) & (size > 0), F.xxhash64(c["i"], by_word, length, F.slice(s, start + 1, size)))
 
 
-def looked_up(line: Column, n: Column, edits: int) -> Column:
-    """What a line looks up, for its own length (`same`) and those up to `edits` below; null where out of bounds."""
-    out = []
-    for less in range(edits + 1):
-        length = n - less
-        for i, (s, z) in enumerate(segments(length, edits + 1)):
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for move in range(low, high + 1):
-                at = s + move
-                fits = (at >= 0) & (at + z <= n)
-                out.append(F.when(fits, F.struct(_key(line, i, length, at, z).alias("key"), _beside(line, n, length, at, z).alias("beside"), F.lit(less == 0).alias("same"))))
-    return F.array(*out)
+def sketch(s: Column) -> Column:
+    """Parity of the symbols in 64 classes of hashes; an edit turns at most two bits."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _shared(x: Column, y: Column, most: Column, end: bool) -> Column:
-    """Length of the common prefix (or suffix) up to `most`, by halving steps."""
+    """Length of the common prefix (or suffix) of two arrays up to `most`, by halving steps."""
 
     def same(m: Column) -> Column:
-        return F.right(x, m) == F.right(y, m) if end else x.substr(F.lit(1), m) == y.substr(F.lit(1), m)
+        return F.slice(x, F.size(x) - m + 1, m) == F.slice(y, F.size(y) - m + 1, m) if end else F.slice(x, 1, m) == F.slice(y, 1, m)
 
     steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda m, s: F.when((s <= most - m) & F.when(s <= most - m, same(m + s)).otherwise(False), m + s).otherwise(m))
@@ -94,22 +106,22 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def close(x: Column, y: Column, edits: int) -> Column:
-    """Whether two strings are at most `edits` edits apart.
+def close(x: Column, y: Column, edits: Column, most: int = MOST) -> Column:
+    """Whether two arrays are at most `edits` (1 to `most`) edits apart.
 
-    Common ends are cut off first. Then bit d + edits of word e says that the first
-    j + d characters of one string can be had from the first j of the other by e edits.
+    Common ends are cut off first. Then bit d + most of word e says that the first
+    j + d symbols of one array can be had from the first j of the other by e edits.
     """
-    band = (1 << (2 * edits + 1)) - 1
+    band = (1 << (2 * most + 1)) - 1
 
     def run(c: Column) -> Column:
-        u, v, la, lb = c["u"], c["v"], c["la"], c["lb"]
+        u, v, la, lb, least = c["u"], c["v"], c["la"], c["lb"], c["edits"]
 
         def step(state: Column, j: Column) -> Column:
             match = F.lit(0)
-            for d in range(-edits, edits + 1):
+            for d in range(-most, most + 1):
                 inside = (j + d >= 1) & (j + d <= la)
-                match = match + F.when(inside & (F.get(u, j + d - 1) == F.get(v, j - 1)), 1 << (d + edits)).otherwise(0)
+                match = match + F.when(inside & (F.get(u, j + d - 1) == F.get(v, j - 1)), 1 << (d + most)).otherwise(0)
 
             def words(m: Column) -> Column:
                 def word(e: int, rest: list[Column]) -> Column:
@@ -117,7 +129,7 @@ def close(x: Column, y: Column, edits: int) -> Column:
                     if e:
                         fewer = state[f"e{e - 1}"]
                         old = old.bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(rest[-1], 1)).bitwiseAND(F.lit(band))
-                    if e == edits:
+                    if e == most:
                         return F.struct(*[w.alias(f"e{k}") for k, w in enumerate([*rest, old])])
                     return _let(old, lambda w: word(e + 1, [*rest, w]))
 
@@ -125,38 +137,28 @@ def close(x: Column, y: Column, edits: int) -> Column:
 
             return _let(match, words)
 
-        start = F.struct(*[F.lit(sum(1 << (d + edits) for d in range(e + 1))).alias(f"e{e}") for e in range(edits + 1)])
-        last = F.aggregate(F.sequence(F.lit(1), lb), start, step)[f"e{edits}"]
-        far = F.abs(la - lb) > edits
-        short = F.greatest(la, lb) <= edits  # rewriting all that is left is within the threshold
+        start = F.struct(*[F.lit(sum(1 << (d + most) for d in range(e + 1))).alias(f"e{e}") for e in range(most + 1)])
+        last = F.aggregate(F.sequence(F.lit(1), lb), start, step)
+        word = last[f"e{most}"]
+        for e in range(most - 1, 0, -1):
+            word = F.when(least == e, last[f"e{e}"]).otherwise(word)
         end = F.lit(False)
-        for d in range(-edits, edits + 1):
-            end = end | ((la - lb == d) & (F.shiftright(last, d + edits).bitwiseAND(F.lit(1)) == 1))
-        return F.when(far, False).when(short, True).when(F.least(la, lb) == 0, False).otherwise(end)
+        for d in range(-most, most + 1):
+            end = end | ((la - lb == d) & (F.shiftright(word, d + most).bitwiseAND(F.lit(1)) == 1))
+        rewritten = F.greatest(la, lb) <= least  # rewriting all that is left is within the threshold
+        return F.when(F.abs(la - lb) > least, False).when(rewritten, True).when(F.least(la, lb) == 0, False).otherwise(end)
 
     def cut(ab: Column) -> Column:
         def ends(s: Column) -> Column:
-            la, lb = F.length(ab["a"]) - s, F.length(ab["b"]) - s
-            return _let(F.struct(F.split(ab["a"].substr(F.lit(1), la), "").alias("u"), F.split(ab["b"].substr(F.lit(1), lb), "").alias("v"), la.alias("la"), lb.alias("lb")), run)
+            la, lb = F.size(ab["a"]) - s, F.size(ab["b"]) - s
+            return _let(F.struct(F.slice(ab["a"], 1, la).alias("u"), F.slice(ab["b"], 1, lb).alias("v"), la.alias("la"), lb.alias("lb"), ab["edits"].alias("edits")), run)
 
-        return _let(_shared(ab["a"], ab["b"], F.least(F.length(ab["a"]), F.length(ab["b"])), True), ends)
+        return _let(_shared(ab["a"], ab["b"], F.least(F.size(ab["a"]), F.size(ab["b"])), True), ends)
 
     def start(p: Column) -> Column:
-        return _let(F.struct(x.substr(p + 1, F.length(x)).alias("a"), y.substr(p + 1, F.length(y)).alias("b")), cut)
+        return _let(F.struct(F.slice(x, p + 1, F.size(x)).alias("a"), F.slice(y, p + 1, F.size(y)).alias("b"), edits.alias("edits")), cut)
 
-    return _let(_shared(x, y, F.least(F.length(x), F.length(y)), False), start)
-
-
-def named(df: DataFrame, ids: DataFrame, id_col: str, out: str) -> DataFrame:
-    """df with a flag that is true for every id in ids(id), and for few others: by a bitmap of fixed size, broadcast."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    pages = ids.groupBy(F.bitmap_bucket_number(place("id")).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("id"))).alias("_bits"))
-    at = F.bitmap_bit_position(place(id_col))
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(shiftright(bitmap_bit_position(pmod(xxhash64(`{id_col}`), {FILTER_BITS}) + 1), 3) as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftright(_byte, cast(_at as int))").bitwiseAND(F.lit(1))
-    flagged = df.withColumn("_page", F.bitmap_bucket_number(place(id_col))).join(F.broadcast(pages), "_page", "left")
-    flagged = flagged.withColumn("_byte", byte).withColumn("_at", at % 8).withColumn(out, F.coalesce(bit == 1, F.lit(False)))
-    return flagged.select(*df.columns, out)
+    return _let(_shared(x, y, F.least(F.size(x), F.size(y)), False), start)
 
 
 def worded(line: Column) -> Column:
@@ -168,69 +170,117 @@ def normal(line: Column) -> Column:
 
 
 class LineJoin:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, short: bool = False):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_chars: int, small: int):
         self.spark = tune(docs.sparkSession)
         self.scratch = Scratch(self.spark)
-        self.docs, self.id_col, self.text_col, self.edits, self.min_chars, self.short = docs, id_col, text_col, edits, min_chars, short
+        self.id_col, self.text_col, self.min_chars, self.small = id_col, text_col, min_chars, small
+        self.rows = docs.select(F.struct("*").alias("row"))
 
-    def lines(self, docs: DataFrame) -> DataFrame:
-        text = docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).where("id is not null and text is not null")
-        text = text.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normal(F.col("line")).alias("line"))
-        return text.where((F.length("line") >= self.min_chars) | (worded(F.col("line")) if self.short else F.lit(False)))
-
-    def removed(self) -> DataFrame:
-        """(id, gone): the positions of the lines that go, for each id that loses any."""
-        edits = self.edits
-        line = F.col("line")
-        lines = self.lines(self.docs).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
-        joins = lambda c: F.when(F.col("n") >= self.min_chars, c) if self.short else c
-        keyed = lines.withColumn("n", F.length("line")).select("id", "pos", "h", "g", joins(filed(line, F.col("n"), edits)).alias("filed"), joins(looked_up(line, F.col("n"), edits)).alias("sought"))
-        classes = keyed.groupBy("h", "g").agg(F.min(F.struct("id", "pos", "filed", "sought")).alias("first"), F.count("*").alias("copies"))
-        classes = self.scratch.write(classes.select("h", "g", "copies", "first.*"))
-
-        x = classes.select(F.col("id").alias("xi"), F.col("pos").alias("xp"), F.explode("filed").alias("f")).select("xi", "xp", "f.key", F.col("f.beside").alias("xb"))
-        y = classes.select(F.col("id").alias("yi"), F.col("pos").alias("yp"), F.explode("sought").alias("s")).where("s is not null").select("yi", "yp", "s.key", F.col("s.beside").alias("yb"), "s.same")
-        x_first = (F.col("xi") < F.col("yi")) | ((F.col("xi") == F.col("yi")) & (F.col("xp") < F.col("yp")))
-        apart = x_first | ~F.col("same")  # lines of one length find each other both ways
-        if edits == 1:
-            differ = F.col("xb").bitwiseXOR(F.col("yb"))
-            apart = apart & ((F.shiftrightunsigned(differ, 16) == 0) | (differ.bitwiseAND(F.lit(0xFFFF)) == 0))
-        pairs = x.join(y, "key").where(apart)
-        early, late = F.struct(F.col("xi").alias("id"), F.col("xp").alias("pos")), F.struct(F.col("yi").alias("id"), F.col("yp").alias("pos"))
-        pairs = pairs.select(F.when(x_first, early).otherwise(late).alias("early"), F.when(x_first, late).otherwise(early).alias("late")).distinct()
-        pairs = self.scratch.write(pairs)
+    def sized(self, df: DataFrame, weight: Column | None = None) -> DataFrame:
+        """df, written and hinted for a join: broadcast if it has at most `small` rows, else to merge."""
+        df = self.scratch.write(df)
+        rows = df.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+        return F.broadcast(df) if rows <= self.small else df.hint("merge")
 
-        ends = self.scratch.write(pairs.select(F.explode(F.array("early", "late")).alias("e")).select("e.*").distinct())
-        source = named(self.docs.select(F.col(self.id_col), F.col(self.text_col)), ends.select("id"), self.id_col, "_in").where("_in")
-        texts = self.scratch.write(self.lines(source).join(ends, ["id", "pos"], "left_semi").dropDuplicates(["id", "pos"]))
-        side = lambda name, to: texts.select(F.struct("id", "pos").alias(name), F.col("line").alias(to))
-        near = pairs.join(side("early", "u"), "early").join(side("late", "v"), "late").where(close(F.col("u"), F.col("v"), edits)).select("late.id", "late.pos").distinct()
+    def own(self, name: str) -> Column:
+        return F.col("row")[name]
 
-        near = classes.join(near.withColumn("near", F.lit(True)), ["id", "pos"], "left").where("near or copies > 1").select("h", "g", "near", F.struct("id", "pos").alias("first"))
-        gone = lines.select("id", "pos", "h", "g").join(near, ["h", "g"]).where(F.col("near").isNotNull() | (F.struct("id", "pos") != F.col("first")))
-        return self.scratch.write(gone.groupBy("id").agg(F.collect_set("pos").alias("gone")))
+    def lines(self) -> DataFrame:
+        text = self.rows.select(self.own(self.id_col).alias("id"), self.own(self.text_col).alias("text")).where("id is not null and text is not null")
+        text = text.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normal(F.col("line")).alias("line"))
+        text = text.where((F.length("line") >= self.min_chars) | worded(F.col("line")))
+        return text.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
+
+    def symbols(self, line: Column) -> tuple[Column, Column]:
+        """Whether a line is compared by words, and its symbols with line feeds between them; null where it takes no part in the edit join."""
+        words = F.split(line, r"[ \t\r]+")
+        by_word = F.size(words) >= MIN_WORDS
+        return by_word, F.when(by_word, F.array_join(words, "\n")).when(F.length(line) >= self.min_chars, F.array_join(F.split(line, ""), "\n"))
+
+    def keys(self, lines: DataFrame) -> DataFrame:
+        s, by_word, n = F.col("s"), F.col("by_word"), F.col("n")
+        # one row for each probe before its key is formed, as keys are then formed in generated code
+        out = lines.select("id", "pos", "h", "s", "by_word", "n", F.explode(plan_of(by_word, n)).alias("c"))
+        out = out.select("id", "pos", "h", key_of(F.col("c"), s, by_word, n).alias("key"), ((F.col("c.less") == 0) & (F.col("c.move") == 0)).alias("filed"))
+        return out.where("key is not null").select("key", "id", "pos", "h", "filed")
+
+    def verified(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
+        """Late ends (id, pos, h) of those pairs(late, early) that are within the threshold."""
+        pairs = self.scratch.write(pairs)
+        ends = self.sized(pairs.select(F.explode(F.array("late", "early")).alias("o")).distinct())
+        texts = self.scratch.write(lines.join(ends.select("o.*"), ["id", "pos", "h"], "left_semi").select(F.struct("id", "pos", "h").alias("o"), "s", "by_word"))
+        late, early = texts.select(F.col("o").alias("late"), F.col("s").alias("u"), "by_word"), texts.select(F.col("o").alias("early"), F.col("s").alias("v"))
+        both = pairs.join(late, "late").join(early, "early")
+        return both.where(close(F.col("u"), F.col("v"), allowed(F.col("by_word"), F.least(F.size("u"), F.size("v"))))).select("late.*").distinct()
+
+    def near(self, classes: DataFrame) -> DataFrame:
+        """(id, pos, h) of the classes' lines that have a line before them within the threshold."""
+        lines = classes.where("symbols is not null").select("id", "pos", "h", "by_word", F.split("symbols", "\n").alias("s")).withColumn("n", F.size("s"))
+        keys = self.keys(lines)
+        shared = self.sized(keys.groupBy("key").agg(F.count("*").alias("c"), F.max("filed").alias("f")).where("c > 1 and f").select("key"))
+        self.scratch.sweep()
+        found = self.scratch.write(keys.join(shared, "key"))
+        some = self.sized(found.select("id", "pos", "h").distinct())
+        lines = self.scratch.write(lines.join(some, ["id", "pos", "h"], "left_semi").select("id", "pos", "h", "s", "n", "by_word", sketch(F.col("s")).alias("sk")))
+        light = self.sized(lines.select("id", "pos", "h", "n", "by_word", "sk"))
+        found = found.join(light, ["id", "pos", "h"]).select("key", "filed", F.struct("id", "pos", "h").alias("o"), "n", "by_word", "sk")
+        found = self.scratch.write(found)
+
+        def fits(x: str, y: str) -> Column:
+            """Of two rows of a key, whether x stands before y and no bound excludes them."""
+            t = allowed(F.col(f"{y}.by_word"), F.least(f"{x}.n", f"{y}.n"))
+            apart = F.bit_count(F.col(f"{x}.sk").bitwiseXOR(F.col(f"{y}.sk")))
+            return (F.col(f"{x}.o") < F.col(f"{y}.o")) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= t) & (apart <= 2 * t)
+
+        quarter = F.explode(F.array(*[F.shiftrightunsigned("sk", 16 * k).bitwiseAND(F.lit(0xFFFF)) * 4 + k for k in range(4)]))
+        me = F.struct("o", "n", "by_word", "sk")
+        parted = found.select("key", quarter.alias("q"), "filed", me.alias("me"))
+        lead = parted.groupBy("key", "q").agg(F.min(F.when(F.col("filed"), F.col("me"))).alias("first_filed"), F.min("me").alias("first"))
+        pairs = parted.join(lead, ["key", "q"]).withColumn("lead", F.when(F.col("filed"), F.col("first")).otherwise(F.col("first_filed")))
+        done = self.scratch.write(self.verified(pairs.where(fits("lead", "me")).select(F.col("me.o").alias("late"), F.col("lead.o").alias("early")).distinct(), lines))
+
+        rest = found.join(self.sized(done).select(F.struct("id", "pos", "h").alias("o")), "o", "left_anti")
+        x, y = found.select("key", me.alias("x"), F.col("filed").alias("xf")), rest.select("key", me.alias("y"), F.col("filed").alias("yf"))
+        pairs = x.join(y, "key").where((F.col("xf") | F.col("yf")) & fits("x", "y")).select(F.col("y.o").alias("late"), F.col("x.o").alias("early")).distinct()
+        return done.unionByName(self.verified(pairs, lines))
+
+    def gone(self) -> DataFrame:
+        """(id, gone): position and hash of the lines that go, for each id that loses any."""
+        lines = self.lines()
+        classes = lines.groupBy("h", "g").agg(F.min(F.struct("id", "pos", "line")).alias("first"), F.count("*").alias("copies"))
+        by_word, symbols = self.symbols(F.col("first.line"))
+        classes = self.scratch.write(classes.select("h", "g", "copies", "first.id", "first.pos", by_word.alias("by_word"), symbols.alias("symbols")))
+        self.scratch.sweep()
+        near = self.sized(self.near(classes).withColumn("near", F.lit(True)))
+        going = classes.drop("symbols").join(near, ["id", "pos", "h"], "left").where("near or copies > 1")
+        going = self.sized(going.select("h", "g", "near", F.col("id").alias("id1"), F.col("pos").alias("pos1")))
+        out = lines.select("id", "pos", "h", "g").join(going, ["h", "g"]).where("near or id <> id1 or pos <> pos1")
+        out = self.scratch.write(out.groupBy("id").agg(F.collect_set(F.struct("pos", "h")).alias("gone")))
+        self.scratch.sweep()
+        return out
 
     def run(self) -> DataFrame:
         """docs with the text without the lines that go, and their numbers."""
-        gone = self.removed()
-        split = named(self.docs, gone.select("id"), self.id_col, "_in")
-        text = F.col(self.text_col)
-        count = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-        same = split.where("not _in").drop("_in").withColumn("_lines", count).withColumn("_removed", F.lit(0).cast("long"))
-        touched = split.where("_in").drop("_in").join(gone.withColumnRenamed("id", "_id"), F.col(self.id_col) == F.col("_id"), "left").drop("_id")
-        rows = F.split(text, "\n")
-        left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("gone")))
-        touched = touched.withColumn("_lines", count).withColumn("_removed", F.when(F.col("gone").isNull() | text.isNull(), 0).otherwise(F.col("_lines") - F.size(left)).cast("long"))
-        touched = touched.withColumn(self.text_col, F.when(F.col("gone").isNull() | text.isNull(), text).otherwise(F.array_join(F.transform(left, lambda k: F.get(rows, k)), "\n"))).drop("gone")
-        return same.unionByName(touched)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+        gone = self.sized(self.gone(), F.size("gone"))
+        text = self.own(self.text_col)
+        both = self.rows.withColumn("id", self.own(self.id_col)).join(gone, "id", "left")
+        both = both.withColumn("all", F.split(text, "\n"))
+        stays = lambda line, k: ~F.array_contains(F.col("gone"), F.struct(k.cast("int").alias("pos"), F.xxhash64(normal(line)).alias("h")))
+        both = both.withColumn("left", F.when(F.col("gone").isNotNull(), F.filter("all", stays)))
+        count = F.when(text.isNull(), 0).otherwise(F.size("all")).cast("long")
+        fresh = F.col("row").withField(self.text_col, F.when(F.col("left").isNull() | text.isNull(), text).otherwise(F.array_join("left", "\n")))
+        removed = F.when(F.col("left").isNull() | text.isNull(), 0).otherwise(F.size("all") - F.size("left")).cast("long")
+        done = both.select(fresh.alias("row"), F.struct(count.alias("_lines"), removed.alias("_removed")).alias("new"))
+        kept = [F.col("row")[c].alias(c) for c in self.rows.schema["row"].dataType.names if c not in ("_lines", "_removed")]
+        return done.select(*kept, "new._lines", "new._removed")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, small: int = SMALL) -> DataFrame:
     """docs with repeated lines taken out of the text, and columns _lines and _removed: their numbers before and gone."""
-    return LineJoin(docs, id_col, text_col, max_edits, min_chars, short).run()
+    return LineJoin(docs, id_col, text_col, min_chars, small).run()
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated lines; a row goes if it lost lines and no word is left."""
-    out = dedup_lines(docs, id_col, text_col, short=short)
+    out = dedup_lines(docs, id_col, text_col)
     return out.where((F.col("_removed") == 0) | F.col(text_col).rlike(r"\S")).select(*docs.columns)

@@ -39,12 +39,6 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
-def op4_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_line_dedup in which exact repeats of short lines go too."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short=True)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
-
-
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
     return out.select("doc_id", F.col("_entities").alias("n_entities"), "text")
@@ -71,25 +65,33 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_html_extraction, op2_ngram_jaccard, op3_best_fit_packing, op4_line_dedup, op4_line_dedup_short, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_media_columns)
+    ops = (op1_html_extraction, op2_ngram_jaccard, op3_best_fit_packing, op4_line_dedup, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_media_columns)
     return {f.__name__: f for f in ops}
 
 
-#: Lines of the whole table against each other: equal ones by their text, near ones by length and edit distance.
+#: Lines of the whole table against each other: equal ones by their text; near ones by characters, or by words, of which
+#: each is one character by hash, in four ways: a distance by hashes is never greater, and a word changed for
+#: one of the same character in all four is the only way to be less.
 _OP4 = r"""
-WITH cut AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
-), pieces AS (
-  SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM cut WHERE text IS NOT NULL AND doc_id IS NOT NULL
+WITH pieces AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), lines AS (
   SELECT doc_id, pos, line, lower(trim(line, ' ' || chr(9) || chr(13))) AS norm FROM pieces
 ), classes AS (
-  SELECT norm, length(norm) AS n, min({'doc_id': doc_id, 'pos': pos}) AS first FROM lines WHERE length(norm) >= 24 GROUP BY norm
+  SELECT norm, string_split_regex(norm, '[ \t\r]+') AS w, min({'doc_id': doc_id, 'pos': pos}) AS first
+  FROM lines WHERE length(norm) >= 24 OR regexp_matches(norm, '[\p{L}\p{N}]') GROUP BY norm
+), long AS (
+  SELECT norm, first, len(w) >= 8 AS by_word, CASE WHEN len(w) >= 8 THEN len(w) ELSE length(norm) END AS n,
+    CODES
+  FROM classes WHERE len(w) >= 8 OR length(norm) >= 24
 ), sides AS (
-  SELECT norm, n, first, n + d AS m FROM classes, (VALUES (-1), (0), (1)) AS t(d)
+  SELECT *, n + d AS m FROM long, (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) AS t(d) WHERE by_word OR abs(d) <= 1
+), pairs AS (
+  SELECT y.norm AS yn, x.norm AS xn, y.by_word, CASE WHEN NOT y.by_word OR least(x.n, y.n) < 18 THEN 1 WHEN least(x.n, y.n) < 32 THEN 2 ELSE 3 END AS t, y.d,
+    XS
+  FROM sides y JOIN long x ON x.n = y.m AND x.by_word = y.by_word WHERE x.first < y.first
 ), near AS (
-  SELECT DISTINCT y.norm FROM sides y JOIN classes x ON x.n = y.m
-  WHERE x.first < y.first AND levenshtein(x.norm, y.norm) <= 1
+  SELECT DISTINCT yn AS norm FROM pairs WHERE abs(d) <= t AND CASE WHEN by_word THEN TESTS ELSE levenshtein(xn, yn) <= 1 END
 ), judged AS (
   SELECT l.doc_id, l.pos, l.line,
     c.norm IS NOT NULL AND (c.first <> {'doc_id': l.doc_id, 'pos': l.pos} OR l.norm IN (SELECT norm FROM near)) AS gone
@@ -103,9 +105,8 @@ SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS
   CASE WHEN d.text IS NULL THEN NULL WHEN r.doc_id IS NULL THEN sha256(d.text) ELSE sha256(r.text) END AS text_sha256
 FROM documents d LEFT JOIN rebuilt r USING (doc_id)
 """
-
-#: The same, with every line that has a letter or digit in the classes and those of 24 characters in the near ones.
-_OP4_SHORT = _OP4.replace("WHERE length(norm) >= 24 GROUP BY", r"WHERE length(norm) >= 24 OR regexp_matches(norm, '[\p{L}\p{N}]') GROUP BY").replace("WHERE x.first < y.first AND", "WHERE x.n >= 24 AND y.n >= 24 AND x.first < y.first AND")
+_OP4 = _OP4.replace("CODES", ", ".join(f"list_reduce(list_prepend('', list_transform(w, lambda x: chr((33 + hash('{k}' || x) % 90)::INTEGER))), lambda a, b: a || b) AS c{k}" for k in range(4)))
+_OP4 = _OP4.replace("XS", ", ".join(f"x.c{k} AS x{k}, y.c{k} AS y{k}" for k in range(4))).replace("TESTS", " AND ".join(f"levenshtein(x{k}, y{k}) <= t" for k in range(4)))
 
 
 #: Sets of runs of five words, all pairs that share one, and what their links reach.
@@ -130,4 +131,4 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id FROM sets s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _OP2, "op4_line_dedup": _OP4, "op4_line_dedup_short": _OP4_SHORT}
+    return {"op2_ngram_jaccard": _OP2, "op4_line_dedup": _OP4}
