@@ -143,6 +143,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
             place = np.arange(len(part), dtype=np.int64)
             place[s[0] :] -= np.repeat(s, np.diff(np.append(s, len(part))))
             value = _BYTE[_LOWER[part] if lower else part] * _PLACE[place & 4095]
+            if length.max() > 4096:
+                value *= mix((place >> 12).astype(np.uint64)) | np.uint64(1)  # 1 up to place 4095
             value *= solid
             value[: s[0]] = 0
             hashes.append(mix(np.add.reduceat(value, s) + length.astype(np.uint64)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import text_bytes, words_of
+from .common import mix, text_bytes, words_of
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -123,7 +123,10 @@ class Batch:
             n = e - s
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             src = at + np.repeat(s, n)
-            value[part] = np.add.reduceat(weight[src] * _LINE_PLACE[at & 65535], np.cumsum(n) - n) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            place = _LINE_PLACE[at & 65535]
+            if n.max() > 65536:
+                place = place * (mix((at >> 16).astype(np.uint64)) | np.uint64(1))  # by 1 up to place 65535
+            value[part] = np.add.reduceat(weight[src] * place, np.cumsum(n) - n) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return row, bounds, stop, value
 
     def dup_lines(self) -> np.ndarray:
