@@ -34,7 +34,7 @@ def write_stream(path: str, eod: int, block: int = BLOCK):
     """Texts of a partition -> the blocks of its file (u16 ids), beside the order of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path)
+        encode = word_ids(path, plain=True)  # the separator must not come from a text
         file = TaskContext.get().partitionId()
         names = ["file", "block", "payload", "nth", "doc_id"]
         held, n_block, nth = bytearray(), 0, 0

@@ -15,8 +15,10 @@ from tokenizers import Tokenizer
 
 from .chunks import TAIL, Memo, groups, windows
 
-#: Text with these is given to the library whole: the separators that str.split() takes and the vocabulary's pattern does not, and a letter whose lower case looks at its neighbours.
-_WHOLE = re.compile("[\x1c-\x1fΣ]")
+#: Text with these is given to the library whole: the separators that str.split() takes and the vocabulary's pattern does not, and letters whose lower case looks at its neighbours or ends in a mark.
+_WHOLE = re.compile("[\x1c-\x1fΣİ]")
+#: Fixed value: how the special tokens of the vocabulary begin.
+_SPECIAL = "<|"
 
 
 def split(chunk: str) -> list[str]:
@@ -28,10 +30,13 @@ def split(chunk: str) -> list[str]:
 
 
 class WordIds:
-    def __init__(self, path: str):
+    """With `plain`, special tokens in a text are text like other; without, each is one id, as by the library's default."""
+
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.memo = Memo(split, self.ask, b"".join)
+        self.whole = lambda t: _WHOLE.search(t) or (not plain and _SPECIAL in t)
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -43,7 +48,7 @@ class WordIds:
             if len(own) == 1:
                 yield self(texts[own[0]])
                 continue
-            chunks = [[] if _WHOLE.search(texts[k]) else texts[k].split() for k in own]
+            chunks = [[] if self.whole(texts[k]) else texts[k].split() for k in own]
             got = self.memo.fetch([c for cs in chunks for c in cs])
             at = 0
             for k, cs in zip(own, chunks, strict=True):
@@ -51,12 +56,12 @@ class WordIds:
                 at += len(cs)
 
     def __call__(self, text: str) -> bytes:
-        if _WHOLE.search(text):
+        if self.whole(text):
             return self.ask([text])[0]
         return b"".join(b"".join(self.memo.fetch(w.split())) for w in windows(text))
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, plain: bool = False) -> WordIds:
     """The worker's own, loaded once."""
-    return WordIds(path)
+    return WordIds(path, plain)
