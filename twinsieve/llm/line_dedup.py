@@ -193,9 +193,10 @@ class LineJoin:
 
     def symbols(self, line: Column) -> tuple[Column, Column]:
         """Whether a line is compared by words, and its symbols with line feeds between them; null where it takes no part in the edit join."""
-        words = F.split(line, r"[ \t\r]+")
-        by_word = F.size(words) >= MIN_WORDS
-        return by_word, F.when(by_word, F.array_join(words, "\n")).when(F.length(line) >= self.min_chars, F.array_join(F.split(line, ""), "\n"))
+        # a plain replacement where single spaces separate the words, which is most often
+        words = F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, r"[ \t\r]+", "\n")).otherwise(F.replace(line, F.lit(" "), F.lit("\n")))
+        by_word = F.size(F.split(words, "\n")) >= MIN_WORDS
+        return by_word, F.when(by_word, words).when(F.length(line) >= self.min_chars, F.array_join(F.split(line, ""), "\n"))
 
     def keys(self, lines: DataFrame) -> DataFrame:
         s, by_word, n = F.col("s"), F.col("by_word"), F.col("n")
