@@ -16,8 +16,8 @@ How the work is dealt out
    the members of large groups by as many links as there are members, not pairs.
 4. The pass that makes the result whole: elements are ordered by (bucket count, hash),
    and each row emits its first size - ceil(num / den * size) + 1 elements. Rows that
-   link share one of these. Elements seen by a single row, or by one component alone,
-   fall away; the rest form blocks. The order puts passages that many texts share last,
+   link share one of these. Rows without a partner by size and place, and elements of one
+   component alone, fall away; the rest get their bitmaps and form blocks. The order puts passages that many texts share last,
    where they are rarely emitted.
 5. In each block a signature tree is traversed against itself; large blocks are cut
    into cells of at most `cell` rows, each pair of cells a task of its own. Pairs that
@@ -115,12 +115,12 @@ def bucket_counts(described: DataFrame) -> np.ndarray:
 
 
 def _prefixes(n: int, num: int, den: int, order):
-    """The first elements of each row, in the order of (bucket count, hash)."""
+    """The first elements of each row, in the order of (bucket count, hash), with the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in batches:
-            tokens, rows, places = [], [], []
+            tokens, rows, places, sizes = [], [], [], []
             for k, own in enumerate(shingle_sets(batch.column(1), n)):
                 if len(own):
                     m = len(own) - -(-num * len(own) // den) + 1
@@ -133,32 +133,65 @@ def _prefixes(n: int, num: int, den: int, order):
                     tokens.append(own[first].view(np.int64))
                     rows.append(np.full(m, k, dtype=np.int32))
                     places.append(np.arange(m, dtype=np.int32))
+                    sizes.append(np.full(m, len(own), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))], names=["token", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], names=["token", "id", "place", "n"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose token also stands in the row before or after; the input is sorted by token."""
-    held = None
-    last = None
-    for batch in batches:
-        batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        token = batch.column(0).to_numpy(zero_copy_only=False)
-        same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= token[0] == last if last is not None else False
-        # the last row waits for the next batch
-        out = keep[:-1]
-        if out.any():
-            yield batch.slice(0, len(token) - 1).filter(pa.array(out))
-        last = token[-2] if len(token) > 1 else last
-        held = batch.slice(len(token) - 1)
-    if held is not None and last is not None and held.column(0)[0].as_py() == last:
-        yield held
+def early(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Elements that the smaller of two linked sets needs to be filed under: one of them is in the prefix of the larger.
+
+    Two sets that link share at least 2 num / (num + den) of the smaller one.
+    """
+    return size - -(-2 * num * size // (num + den)) + 1
+
+
+def _met(num: int, den: int):
+    """Rows that may have a partner under their token; the input is sorted by (token, n, place).
+
+    Of two linked sets the smaller has a shared token among its first `early` elements and
+    the larger has it in its prefix. So a late row needs an early one before it, of no less
+    than num / den of its size; an early row needs that, or any row after it of no more than
+    den / num of its size. Both are seen in the nearest such row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        token0, size0 = None, 0  # token and size of the last early row that was sent on or dropped
+        for batch in (*batches, None):
+            last = batch is None
+            if last:
+                if held is None:
+                    return
+                batch, tail = held, 0
+            else:
+                batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                tail = 1
+            token, place, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            n = n.astype(np.int64)
+            m = len(token)
+            first = place < early(n, num, den)
+            # nearest early row before each row, of the same token
+            at = np.where(first, np.arange(m), -1)
+            before = np.maximum.accumulate(np.concatenate([[-1], at[:-1]]))
+            has = (before >= 0) & (token[before] == token)
+            size = np.where(has, n[before], 0)
+            if token0 is not None:
+                size = np.where((before < 0) & (token == token0), size0, size)
+            keep = (size > 0) & (den * size >= num * n)
+            nxt = (token[1:] == token[:-1]) & (num * n[1:] <= den * n[:-1])
+            keep[:-1] |= first[:-1] & nxt
+            out = keep[: m - tail]
+            if out.any():
+                yield batch.slice(0, m - tail).filter(pa.array(out))
+            gone = np.flatnonzero(first[: m - tail])
+            if len(gone):
+                token0, size0 = token[gone[-1]], int(n[gone[-1]])
+            held = batch.slice(m - tail) if tail else None
+
+    return run
 
 
 def _cells(num: int, den: int):
@@ -325,14 +358,21 @@ class JaccardJoin:
             comp = components(links, self.scratch)
 
         order = self.spark.sparkContext.broadcast(bucket_counts(described).astype(np.int64))
-        tokens = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, num, den, order), "token long, id long, place int")
-        tokens = self.scratch.write(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place int"))
+        kinds = "token long, id long, place int, n int"
+        tokens = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, num, den, order), kinds)
+        tokens = self.scratch.write(tokens.repartition("token").sortWithinPartitions("token", "n", "place").mapInArrow(_met(num, den), kinds))
+        self.scratch.sweep()
+        rep = self.scratch.write(classes.select(F.col("rep").alias("id"), "sig").join(comp, "id", "left").select("id", "sig", F.coalesce("comp", "id").alias("comp")))
+        owned = self.scratch.write(tokens.join(rep.select("id", "comp"), "id").distinct())
+        self.scratch.drop(tokens)
+        mixed = owned.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("c") / self.cell).alias("m"))
+        # of what is left once more those with a partner, now that copies are gone; only these get their bitmaps
+        left = owned.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "place").select("token", "id", "place", "n", "comp", "m")
+        left = self.scratch.write(left.mapInArrow(_met(num, den), "token long, id long, place int, n int, comp long, m long"))
+        self.scratch.drop(owned)
         self.scratch.sweep()
-        rep = classes.select(F.col("rep").alias("id"), "n", "sig").join(comp, "id", "left").select("id", "n", "sig", F.coalesce("comp", "id").alias("comp"))
-        tokens = tokens.join(rep.select("id", "comp"), "id").distinct()
-        mixed = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("c") / self.cell).alias("m"))
-        blocks = tokens.join(mixed, "token").join(rep.drop("comp"), "id").withColumn("side", F.pmod(F.xxhash64("id"), "m"))
-        blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("token", F.least("side", "o").alias("ci"), F.greatest("side", "o").alias("cj"), "side", "id", "comp", "n", "place", "sig")
+        blocks = left.join(rep.select("id", "sig"), "id").withColumn("side", F.pmod(F.xxhash64("id"), "m"))
+        blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("token", F.least("side", "o").alias("ci"), F.greatest("side", "o").alias("cj"), "side", "id", "comp", F.col("n").cast("long").alias("n"), "place", "sig")
         found = blocks.repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj").mapInArrow(_cells(num, den), "a long, b long").distinct()
         links = links.unionByName(self.confirm(found))
         comp = components(links, self.scratch)
@@ -356,6 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their group: those whose id is their component's."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of docs that stand for their group: those whose id is their component's. Rows without an id stay."""
+    own = near_duplicates(docs, id_col, text_col)
+    others = own.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(others, id_col, "left_anti")
