@@ -18,7 +18,8 @@ get longer, a character every four attempts, as short ones have few values; name
 
 Defined cases: null text stays null, empty text empty; texts without a match pass
 unchanged; repeated rows and rows with null ids are treated like others; an empty table
-gives no rows. Other columns pass through. Names without a title are not recognised.
+gives no rows. Other columns pass through, whatever their names. Names that no title goes
+before anywhere in their text are not recognised.
 """
 
 from __future__ import annotations
@@ -187,24 +188,38 @@ def assign(parts: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     raise RuntimeError(f"parts still collide after {ATTEMPTS} attempts")
 
 
+def _again(piece: Column, names: Column) -> Column:
+    """Text between matches, with the names found in the document replaced as whole words."""
+    edge = F.lit(r"(?<![\p{L}\p{N}_])\Q")
+    return F.aggregate(names, piece, lambda t, n: F.regexp_replace(t, F.concat(edge, n["written"], F.lit(r"\E(?![\p{L}\p{N}_])")), n["to"]))
+
+
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with surrogates in the text, and _entities: how many matches were replaced."""
+    """docs with surrogates in the text, and _entities: how many matches were replaced.
+
+    A name that was found behind a title is also replaced where it stands without one in
+    the same text; that adds nothing to _entities. A column of docs called _entities is
+    replaced.
+    """
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark)
-    text = F.col(text_col)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    text = F.col("text")
     holds = F.coalesce(text.rlike(PATTERN), F.lit(False))
-    pattern = F.lit(PATTERN)
-    hit = docs.where(holds).withColumn("_row", F.monotonically_increasing_id()).withColumn("_found", F.regexp_extract_all(text, pattern, F.lit(0)))
+    hit = rows.where(holds).withColumn("nth", F.monotonically_increasing_id()).withColumn("found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     hit = scratch.write(hit)
 
-    found = hit.select("_row", F.posexplode("_found").alias("at", "match"))
+    found = hit.select("nth", F.posexplode("found").alias("at", "match"))
     matches = found.select("match").distinct().withColumn("kind", kind_of(F.col("match")))
     matches = scratch.write(matches.select("match", F.posexplode(parts_of(F.col("kind"), F.col("match"))).alias("k", "part")).select("match", "k", "part.*"))
     made = assign(matches.where("kind is not null").select("kind", "normal").distinct(), key, scratch)
-    whole = matches.join(made, ["kind", "normal"], "left").select("match", F.struct("k", written_as(F.col("kind"), F.col("written"), F.col("made")).alias("to")).alias("p"))
-    whole = whole.groupBy("match").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["to"]), "").alias("to"))
-    swapped = found.join(whole, "match").groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "to"))), lambda p: p["to"]).alias("_to"))
+    whole = matches.join(made, ["kind", "normal"], "left").select("match", F.struct("k", "kind", "written", written_as(F.col("kind"), F.col("written"), F.col("made")).alias("to")).alias("p"))
+    whole = whole.groupBy("match").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    names = F.transform(F.filter("p", lambda p: p["kind"].startswith("name-")), lambda p: F.struct(p["written"].alias("written"), p["to"].alias("to")))
+    whole = whole.select("match", F.array_join(F.transform("p", lambda p: p["to"]), "").alias("to"), names.alias("names"))
+    swapped = found.join(whole, "match").groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("to"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
     between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.col("_to"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = hit.join(swapped, "_row").withColumn(text_col, joined).withColumn("_entities", F.size("_to").cast("long")).select(*docs.columns, "_entities")
-    return docs.where(~holds).withColumn("_entities", F.lit(0).cast("long")).unionByName(done)
+    joined = F.array_join(F.zip_with(between, F.col("to"), lambda a, b: F.concat(F.when(F.size("names") > 0, _again(a, F.col("names"))).otherwise(a), F.coalesce(b["to"], F.lit("")))), "")
+    done = hit.join(swapped, "nth").select(F.col("row").withField(text_col, joined).alias("row"), F.size("to").cast("long").alias("n"))
+    both = rows.where(~holds).select("row", F.lit(0).cast("long").alias("n")).unionByName(done)
+    return both.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "_entities"), F.col("n").alias("_entities"))
