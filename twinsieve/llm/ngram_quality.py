@@ -2,9 +2,9 @@
 
 Words are runs of bytes without white space. The base rules reject texts of under 50
 words and texts of which more than half the words stand in windows of three words that
-come twice or more. What passes is judged by a logistic regression over hashed words and
-hashed runs of four bytes; each text's feature is the share of its words, or runs, that
-fall in a bucket. It is fitted on at most `sample` labelled rows; a further share of them,
+come twice or more. What passes is judged by a logistic regression over hashed words,
+hashed pairs of words and hashed runs of four characters (code points); each text's feature
+is the share of its words, pairs or runs that fall in a bucket. It is fitted on at most `sample` labelled rows; a further share of them,
 not used in the fit, calibrates the probability (a slope and an offset, by Newton steps).
 The verdict holds the probability against a fixed threshold. Counts are taken over whole
 texts; words and windows are compared by 64-bit hashes.
@@ -22,28 +22,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, tune
+from .common import mix, per_batch, tune
 from .samples import labelled
 from .text_features import Batch
 
 WORD_BITS = 16
 CHAR_BITS = 16
+#: Characters in a run.
+CHARS = 4
 SAMPLE = 5000
 THRESHOLD = 0.5
 MIN_WORDS = 50
 
 
-def hashed(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets and their rows; buckets of four bytes and their rows, in order."""
-    words = (batch.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-    data, n = batch.data, np.maximum(np.diff(batch.offsets) - 3, 0)
-    if len(data) < 4:
-        return words, batch.word_row, np.zeros(0, np.int32), np.zeros(0, np.int64)
-    quad = data[:-3].astype(np.uint32) | data[1:-2].astype(np.uint32) << 8 | data[2:-1].astype(np.uint32) << 16 | data[3:].astype(np.uint32) << 24
-    bucket = ((quad * np.uint32(2654435769)) >> np.uint32(32 - CHAR_BITS)).astype(np.int32)
-    row = np.repeat(np.arange(batch.rows), n)
-    at = np.arange(len(row)) + np.repeat(batch.offsets[:-1] - (np.cumsum(n) - n), n)
-    return words, batch.word_row, bucket[at] + (1 << WORD_BITS), row
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first byte of every character, and a number for the character: its bytes, at most four."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    value = padded[lead].astype(np.uint32)
+    size = np.diff(np.append(lead, len(data)))
+    for k in range(1, 4):
+        value = np.where(size > k, value << np.uint32(8) | padded[lead + k], value)
+    return lead, value
+
+
+def hashed(batch: Batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, pairs of words and runs of CHARS characters: their buckets and rows, in order of rows."""
+    h, row = batch.hashes, batch.word_row
+    out = [((h >> np.uint64(64 - WORD_BITS)).astype(np.int32), row)]
+    same = np.flatnonzero(row[1:] == row[:-1])
+    two = mix(h[same] * np.uint64(0x9E3779B97F4A7C15) + h[same + 1])
+    out.append(((two >> np.uint64(64 - WORD_BITS)).astype(np.int32) + (1 << WORD_BITS), row[same]))
+    lead, value = code_points(batch.data)
+    of = np.searchsorted(batch.offsets, lead, side="right") - 1
+    m = max(len(lead) - CHARS + 1, 0)
+    own = np.flatnonzero(of[:m] == of[len(of) - m :])
+    total = np.zeros(len(own), np.uint32)
+    for k in range(CHARS):
+        total = total * np.uint32(0x01000193) + (value[own + k] + np.uint32(k + 1)) * np.uint32(2654435769)
+    bucket = (total ^ total >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - CHAR_BITS)
+    out.append((bucket.astype(np.int32) + (2 << WORD_BITS), of[own]))
+    return out
 
 
 @dataclass
@@ -54,9 +73,8 @@ class Regression:
     offset: float = 0.0
 
     def raw(self, batch: Batch) -> np.ndarray:
-        words, word_row, chars, char_row = hashed(batch)
         out = np.full(batch.rows, self.bias)
-        for idx, row in ((words, word_row), (chars, char_row)):
+        for idx, row in hashed(batch):
             total = np.bincount(row, self.w[idx], minlength=batch.rows)
             out += total / np.maximum(np.bincount(row, minlength=batch.rows), 1)
         return out
@@ -67,14 +85,12 @@ class Regression:
 
 def features(batch: pa.RecordBatch) -> pa.RecordBatch:
     own = Batch(batch.column(1), lower=True)
-    words, word_row, chars, char_row = hashed(own)
+    families = [(idx, np.searchsorted(row, np.arange(own.rows + 1))) for idx, row in hashed(own)]
     rows_idx, rows_val = [], []
-    cut_w, cut_c = np.searchsorted(word_row, np.arange(own.rows + 1)), np.searchsorted(char_row, np.arange(own.rows + 1))
     for k in range(own.rows):
-        i1, c1 = np.unique(words[cut_w[k] : cut_w[k + 1]], return_counts=True)
-        i2, c2 = np.unique(chars[cut_c[k] : cut_c[k + 1]], return_counts=True)
-        rows_idx.append(np.concatenate([i1, i2]).astype(np.int32))
-        rows_val.append(np.concatenate([c1 / max(c1.sum(), 1), c2 / max(c2.sum(), 1)]).astype(np.float32))
+        counts = [np.unique(idx[cut[k] : cut[k + 1]], return_counts=True) for idx, cut in families]
+        rows_idx.append(np.concatenate([i for i, _ in counts]).astype(np.int32))
+        rows_val.append(np.concatenate([c / max(c.sum(), 1) for _, c in counts]).astype(np.float32))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(rows_idx, pa.list_(pa.int32())), pa.array(rows_val, pa.list_(pa.float32()))], names=["id", "y", "idx", "val"])
 
 
@@ -90,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rng = np.random.default_rng(seed)
     shuffled = rng.permutation(len(y))
     train, rest = shuffled[len(y) // 5 :], shuffled[: len(y) // 5]
-    m = Regression(0.0, np.zeros((1 << WORD_BITS) + (1 << CHAR_BITS)))
+    m = Regression(0.0, np.zeros((2 << WORD_BITS) + (1 << CHAR_BITS)))
 
     def rows(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [slice(offsets[order[k]], offsets[order[k] + 1]) for k in part]
