@@ -13,10 +13,12 @@ separators in a row hold an empty one. A file without tokens gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,7 +54,10 @@ def write_stream(path: str, eod: int, block: int = BLOCK):
 
         for batch in batches:
             for own in encode.batch(batch.column(1).to_pylist()):
-                held += np.frombuffer(own, "<u4").astype("<u2").tobytes() + end
+                ids = np.frombuffer(own, "<u4")
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("an id does not fit in two bytes")
+                held += ids.astype("<u2").tobytes() + end
                 if len(held) > 64 * block and (got := full(2 * block)):
                     yield got
             m = batch.num_rows
@@ -66,20 +71,28 @@ def write_stream(path: str, eod: int, block: int = BLOCK):
     return run
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Raw token files below path -> (file string, block, payload). A file's size must be a multiple of width."""
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK, together: int = 64) -> DataFrame:
+    """Raw token files below path -> (file string, block, payload), whatever their size.
+
+    The files are listed with their sizes; each task seeks to ranges of `together` blocks and
+    holds one block at a time. A file's size must be a multiple of width. The path must be
+    one that pyarrow opens on the executors (a shared folder, HDFS, S3, GCS).
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = memoryview(data.as_buffer())
-                if len(whole) % width:
-                    raise ValueError(f"{name}: {len(whole)} bytes are no whole number of ids")
-                for k in range(0, len(whole), width * block):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // (width * block)], pa.int64()), pa.array([bytes(whole[k : k + width * block])], pa.binary())], names=["file", "block", "payload"])
+            for name, first, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if size % width:
+                    raise ValueError(f"{name}: {size} bytes are no whole number of ids")
+                files, inside = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with files.open_input_file(inside) as f:
+                    f.seek(first * width * block)
+                    for k in range(first, min(first + together, -(-size // (width * block)))):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([f.read(width * block)], pa.binary())], names=["file", "block", "payload"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(cut, "file string, block long, payload binary")
+    files = tune(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / (width * block)), F.lit(together).cast("long"))).alias("first"), "length")
+    return ranges.repartition("path", "first").mapInArrow(cut, "file string, block long, payload binary")
 
 
 def search(eod: int, width: int):
@@ -87,7 +100,7 @@ def search(eod: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, first, last, inner = [], [], [], []
+            n, first, last, inner, begins = [], [], [], [], []
             for payload in batch.column("payload"):
                 ids = np.frombuffer(payload.as_buffer(), dtype=kind)
                 at = np.flatnonzero(ids == eod)
@@ -95,7 +108,8 @@ def search(eod: int, width: int):
                 first.append(int(at[0]) if len(at) else None)
                 last.append(int(at[-1]) if len(at) else None)
                 inner.append(np.diff(at) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], names=["file", "block", "n", "first", "last", "inner"])
+                begins.append(at[:-1] + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(inner, pa.list_(pa.int64())), pa.array(begins, pa.list_(pa.int64()))], names=["file", "block", "n", "first", "last", "inner", "begins"])
 
     return run
 
@@ -103,7 +117,7 @@ def search(eod: int, width: int):
 def count_tokens(blocks: DataFrame, scratch: Scratch, eod: int, width: int = 2, group: int = GROUP) -> DataFrame:
     """blocks(file, block, payload) -> (file, nth, start, n_tokens, terminated), a row for each document."""
     kind = dict(blocks.dtypes)["file"]
-    rows = blocks.select("file", "block", "payload").mapInArrow(search(eod, width), f"file {kind}, block long, n long, first long, last long, inner array<long>")
+    rows = blocks.select("file", "block", "payload").mapInArrow(search(eod, width), f"file {kind}, block long, n long, first long, last long, inner array<long>, begins array<long>")
     rows = scratch.write(rows.withColumn("docs", F.when(F.col("first").isNull(), 0).otherwise(F.size("inner") + 1)).withColumn("group", F.floor(F.col("block") / group)))
     within = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,11 +128,11 @@ def count_tokens(blocks: DataFrame, scratch: Scratch, eod: int, width: int = 2,
     total = total.withColumn("g_n0", zero(F.sum("gn").over(over))).withColumn("g_d0", zero(F.sum("gd").over(over)))
     total = total.withColumn("g_s0", zero(F.max(F.col("g_n0") + F.col("gs")).over(over))).withColumn("whole", F.sum("gn").over(Window.partitionBy("file")))
     rows = rows.join(total.select("file", "group", "g_n0", "g_d0", "g_s0", "whole"), ["file", "group"])
-    rows = rows.select("file", "first", "last", "inner", "n", "whole", (F.col("g_n0") + F.col("n0")).alias("at"), (F.col("g_d0") + F.col("d0")).alias("nth0"), F.coalesce(F.col("g_n0") + F.col("s0"), F.col("g_s0")).alias("begin"))
-    ended = rows.where("first is not null").select("file", "at", "nth0", "begin", "first", F.posexplode(F.concat(F.array(F.col("at") + F.col("first") - F.col("begin")), "inner")).alias("k", "n_tokens"), "inner")
-    # a later document of the block starts where the inner ones before it, and their separators, end
-    before = F.aggregate(F.slice("inner", 1, F.greatest(F.col("k") - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    ended = ended.select("file", (F.col("nth0") + F.col("k")).alias("nth"), F.when(F.col("k") == 0, F.col("begin")).otherwise(F.col("at") + F.col("first") + 1 + before).alias("start"), "n_tokens", F.lit(True).alias("terminated"))
+    rows = rows.select("file", "first", "last", "inner", "begins", "n", "whole", (F.col("g_n0") + F.col("n0")).alias("at"), (F.col("g_d0") + F.col("d0")).alias("nth0"), F.coalesce(F.col("g_n0") + F.col("s0"), F.col("g_s0")).alias("begin"))
+    lengths = F.concat(F.array(F.col("at") + F.col("first") - F.col("begin")), "inner")
+    starts = F.concat(F.array("begin"), F.transform("begins", lambda x: x + F.col("at")))
+    ended = rows.where("first is not null").select("file", "nth0", F.posexplode(F.arrays_zip(lengths.alias("n_tokens"), starts.alias("start"))).alias("k", "d"))
+    ended = ended.select("file", (F.col("nth0") + F.col("k")).alias("nth"), "d.start", "d.n_tokens", F.lit(True).alias("terminated"))
     tail = rows.where("at + n = whole and n > 0").select("file", (F.col("nth0") + F.when(F.col("first").isNull(), 0).otherwise(F.size("inner") + 1)).alias("nth"), F.coalesce(F.col("at") + F.col("last") + 1, F.col("begin")).alias("start"), "whole")
     tail = tail.where("start < whole").select("file", "nth", "start", (F.col("whole") - F.col("start")).alias("n_tokens"), F.lit(False).alias("terminated"))
     return ended.unionByName(tail)
