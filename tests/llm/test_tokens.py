@@ -28,7 +28,6 @@ def texts(seed=1, n=150):
 
 
 LIBRARY = Tokenizer.from_file(WORD)
-LIBRARY.encode_special_tokens = True
 
 
 def direct(text):
