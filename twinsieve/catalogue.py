@@ -20,6 +20,7 @@ from twinsieve.operators import graph as G
 from twinsieve.operators.knn import knn
 from twinsieve.plans import reports
 from twinsieve.plans import selection as plan
+from twinsieve.session import settle
 from twinsieve.sources import annotations, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,12 @@ def graph(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and the two graphs, each computed once."""
-    return pairs(spark, sf_dir).select("i"), graph(spark, sf_dir, "img").checkpoint(), graph(spark, sf_dir, "txt").checkpoint()
+    return pairs(spark, sf_dir).select("i"), settle(graph(spark, sf_dir, "img")), settle(graph(spark, sf_dir, "txt"))
+
+
+def one(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and the image graph, computed once."""
+    return pairs(spark, sf_dir).select("i"), settle(graph(spark, sf_dir, "img"))
 
 
 def r6(*names: str) -> list[Column]:
@@ -176,7 +182,7 @@ def row_entropy(spark, sf_dir):
 @query(O.with_ctes(*O.IMG, _DEGREE, select="""
 SELECT g.i, g.j, round(-w / sqrt(a.degree * b.degree), 6) AS w FROM img_g g JOIN deg a ON a.i = g.i JOIN deg b ON b.i = g.j UNION ALL SELECT i, i, 1.0 FROM deg"""))
 def laplacian(spark, sf_dir):
-    nodes, a, _ = both(spark, sf_dir)
+    nodes, a = one(spark, sf_dir)
     return edges(G.laplacian(a, nodes))
 
 
@@ -233,7 +239,7 @@ p2 AS (SELECT a.i, b.j, sum(a.w * b.w) AS w FROM p a JOIN p b ON b.i = a.j GROUP
 SELECT i, round(least(greatest(sum(a * b) / greatest(sqrt(sum(a * a)) * sqrt(sum(b * b)), 1e-8), 0), 1), 6) AS score
 FROM (SELECT i, j, coalesce(p.w, 0) AS a, coalesce(p2.w, 0) AS b FROM p FULL JOIN p2 USING (i, j)) GROUP BY i"""))
 def diffusion_stability(spark, sf_dir):
-    nodes, a, _ = both(spark, sf_dir)
+    nodes, a = one(spark, sf_dir)
     return correction.diffusion_stability(G.stochastic(a), nodes).select("i", *r6("score"))
 
 
@@ -241,7 +247,7 @@ def diffusion_stability(spark, sf_dir):
 p AS (SELECT i, greatest(w / sum(w) OVER (PARTITION BY i), 1e-8) AS p FROM img_g)""", """
 h AS (SELECT i, CASE WHEN count(*) > 1 THEN least(greatest(-sum(p * ln(p + 1e-8)) / greatest(ln(count(*) + 1e-8), 1e-8), 0), 1) ELSE 0 END AS h FROM p GROUP BY i)""", select="SELECT i, round(0.05 + 0.95 * exp(-(1 - h) / 0.25), 6) AS kappa FROM h"))
 def node_confidence(spark, sf_dir):
-    nodes, a, _ = both(spark, sf_dir)
+    nodes, a = one(spark, sf_dir)
     return correction.node_confidence(G.stochastic(a), nodes).select("i", *r6("kappa"))
 
 
@@ -253,14 +259,14 @@ def node_confidence_views(spark, sf_dir):
 
 @query(O.with_ctes(*O.IMG, O.collapse("img"), select="SELECT i, round(red, 6) AS redundancy, round(sep, 6) AS separability, round(c, 6) AS collapse FROM red_img JOIN sep_img USING (i) JOIN col_img USING (i)"))
 def local_collapse(spark, sf_dir):
-    nodes, a, _ = both(spark, sf_dir)
+    nodes, a = one(spark, sf_dir)
     out = correction.redundancy(a, nodes).join(correction.separability(a, nodes), "i").join(correction.local_collapse(a, nodes), "i")
     return out.select("i", *r6("redundancy", "separability", "collapse"))
 
 
 @query(O.with_ctes(*O.IMG, O.collapse("img"), select="SELECT g.i, g.j, round(exp(-4.0 * 0.5 * (a.c + b.c)), 6) AS q FROM img_g g JOIN col_img a ON a.i = g.i JOIN col_img b ON b.i = g.j"))
 def edge_confidence(spark, sf_dir):
-    nodes, a, _ = both(spark, sf_dir)
+    nodes, a = one(spark, sf_dir)
     return correction.edge_confidence(a.select("i", "j"), correction.local_collapse(a, nodes)).select("i", "j", *r6("q"))
 
 
@@ -416,47 +422,51 @@ def collapse_metrics(spark, sf_dir):
 
 @query()
 def diffusion_embedding(spark, sf_dir):
-    nodes, a, _ = both(spark, sf_dir)
+    nodes, a = one(spark, sf_dir)
     ids, values, vectors = kernels.spectrum(a, nodes, 9, "walk")
     return kernels.as_rows(spark, ids, kernels.diffusion_embedding(values, vectors, 8)).select("i", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
 
 
 # ------------------------------------------------------------------ losses between point sets
 
-_PROXIES = """
-proxies AS (SELECT i AS p, img AS v FROM feats WHERE i % 25 = 0)"""
+#: Proxies and frequencies are a chosen few, whatever the number of rows: those of the least ids.
+N_PROXIES, N_FREQUENCIES = 20, 10
+_PROXIES = f"""
+proxies AS (SELECT i AS p, img AS v FROM feats ORDER BY i LIMIT {N_PROXIES})"""
+_FREQ = f"""
+f AS (SELECT i AS f, txt AS v FROM feats ORDER BY i LIMIT {N_FREQUENCIES})"""
 _COVER = """
 cover AS (SELECT f.i, sum(exp(-pow(list_distance(f.img, p.v), 2) / 0.5)) AS c FROM feats f, proxies p GROUP BY f.i)"""
 
 
 def proxies(spark, sf_dir) -> DataFrame:
-    return side(spark, sf_dir, "img").where("i % 25 = 0").select(F.col("i").alias("p"), "v")
+    return side(spark, sf_dir, "img").orderBy("i").limit(N_PROXIES).select(F.col("i").alias("p"), "v")
 
 
-@query(O.with_ctes(O.FEATURES, """
-f AS (SELECT i AS f, txt AS v FROM feats WHERE i % 50 = 0)""", select="SELECT f, round(avg(cos(list_dot_product(x.img, f.v))), 6) AS re, round(avg(sin(list_dot_product(x.img, f.v))), 6) AS im FROM feats x, f GROUP BY f"))
+def frequencies(spark, sf_dir) -> DataFrame:
+    return side(spark, sf_dir, "txt").orderBy("i").limit(N_FREQUENCIES).select(F.col("i").alias("f"), "v")
+
+
+@query(O.with_ctes(O.FEATURES, _FREQ, select="SELECT f, round(avg(cos(list_dot_product(x.img, f.v))), 6) AS re, round(avg(sin(list_dot_product(x.img, f.v))), 6) AS im FROM feats x, f GROUP BY f"))
 def ecf(spark, sf_dir):
-    freq = side(spark, sf_dir, "txt").where("i % 50 = 0").select(F.col("i").alias("f"), "v")
+    freq = frequencies(spark, sf_dir)
     return distribution.ecf(side(spark, sf_dir, "img"), freq).select("f", *r6("re", "im"))
 
 
-@query(O.with_ctes(O.FEATURES, """
-f AS (SELECT i AS f, txt AS v FROM feats WHERE i % 50 = 0)""", """
+@query(O.with_ctes(O.FEATURES, _FREQ, """
 a AS (SELECT f, avg(cos(list_dot_product(x.img, f.v))) AS re, avg(sin(list_dot_product(x.img, f.v))) AS im FROM feats x, f GROUP BY f)""", """
-b AS (SELECT f, avg(cos(list_dot_product(x.img, f.v))) AS re, avg(sin(list_dot_product(x.img, f.v))) AS im FROM feats x, f WHERE x.i % 25 = 0 GROUP BY f)""", select="SELECT round(avg(sqrt(pow(a.re - b.re, 2) + pow(a.im - b.im, 2))), 6) AS cfd FROM a JOIN b USING (f)"))
+b AS (SELECT f, avg(cos(list_dot_product(x.txt, f.v))) AS re, avg(sin(list_dot_product(x.txt, f.v))) AS im FROM feats x, f GROUP BY f)""", select="SELECT round(avg(sqrt(pow(a.re - b.re, 2) + pow(a.im - b.im, 2))), 6) AS cfd FROM a JOIN b USING (f)"))
 def cfd(spark, sf_dir):
-    freq = side(spark, sf_dir, "txt").where("i % 50 = 0").select(F.col("i").alias("f"), "v")
-    x = side(spark, sf_dir, "img")
-    return distribution.cfd(x, x.where("i % 25 = 0"), freq).select(*r6("cfd"))
+    freq = frequencies(spark, sf_dir)
+    return distribution.cfd(side(spark, sf_dir, "img"), side(spark, sf_dir, "txt"), freq).select(*r6("cfd"))
 
 
 @query(O.with_ctes(O.FEATURES, """
-a AS (SELECT img AS v FROM feats WHERE i % 10 = 0)""", """
-b AS (SELECT img AS v FROM feats WHERE i % 10 = 1)""", select="""
+a AS (SELECT img AS v FROM feats)""", """
+b AS (SELECT txt AS v FROM feats)""", select="""
 SELECT round((SELECT avg(exp(-pow(list_distance(x.v, y.v), 2) / 2)) FROM a x, a y) + (SELECT avg(exp(-pow(list_distance(x.v, y.v), 2) / 2)) FROM b x, b y) - 2 * (SELECT avg(exp(-pow(list_distance(x.v, y.v), 2) / 2)) FROM a x, b y), 6) AS mmd2"""))
 def mmd2(spark, sf_dir):
-    x = side(spark, sf_dir, "img")
-    return distribution.mmd2(x.where("i % 10 = 0"), x.where("i % 10 = 1"), 1.0).select(*r6("mmd2"))
+    return distribution.mmd2(side(spark, sf_dir, "img"), side(spark, sf_dir, "txt"), 1.0).select(*r6("mmd2"))
 
 
 @query(O.with_ctes(O.FEATURES, """
@@ -651,9 +661,9 @@ def ablation_delta(spark, sf_dir):
     return reports.deltas(own, "l_returnflag", "N", ["l_linestatus", "l_linenumber"], "m").select("l_linestatus", "l_linenumber", "l_returnflag", F.round("m", 8).alias("m"), F.round("delta", 8).alias("delta"))
 
 
-@query("SELECT n_nationkey, p FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders) WHERE (n_nationkey, p) NOT IN (SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 400000)")
+@query("SELECT n_nationkey, p FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders) WHERE (n_nationkey, p) NOT IN (SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 250000 AND o_orderstatus = 'F')")
 def missing_grid(spark, sf_dir):
-    found = read(spark, sf_dir, "orders").where("o_totalprice > 400000").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderpriority").alias("p"))
+    found = read(spark, sf_dir, "orders").where("o_totalprice > 250000 AND o_orderstatus = 'F'").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderpriority").alias("p"))
     grid = read(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p")).distinct()))
     return reports.missing(grid, found, ["n_nationkey", "p"])
 
@@ -690,9 +700,9 @@ def best_epoch(spark, sf_dir):
 # ------------------------------------------------------------------ text and records
 
 
-@query(r"""SELECT doc_id, array_to_string(list_slice(string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\s{2,}', ' ', 'g'))), ' '), 1, 30), ' ') AS caption FROM documents WHERE lang IN ('en', 'de')""")
+@query(r"""SELECT doc_id, array_to_string(list_slice(string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\s{2,}', ' ', 'g'))), ' '), 1, 30), ' ') AS caption FROM documents""")
 def caption_norm(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de"))
+    d = read(spark, sf_dir, "documents")
     return d.select("doc_id", annotations.normal_caption(F.col("text"), 30).alias("caption"))
 
 
@@ -710,7 +720,7 @@ def json_flatten(spark, sf_dir):
 
 _IDF = """
 WITH words AS (
-  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents WHERE lang = 'en'
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS term FROM documents
 ), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
 kept AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 200),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM words),
@@ -720,8 +730,7 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 
 @query(_IDF)
 def tfidf(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("lang = 'en'")
-    return text.tfidf(d, "doc_id", "text", 200).select("doc_id", "term", *r6("weight"))
+    return text.tfidf(read(spark, sf_dir, "documents"), "doc_id", "text", 200).select("doc_id", "term", *r6("weight"))
 
 
 @query("SELECT n, CAST(greatest(1, least(n, round_even(n * 0.05, 0))) AS BIGINT) AS size FROM (SELECT count(*) AS n FROM documents GROUP BY source)")

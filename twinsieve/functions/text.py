@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tfidf(docs: DataFrame, key: str, text: str, most: int, pattern: str = r"[a-z]{3,}", stop: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, text: str, most: int, pattern: str = r"\p{L}{3,}", stop: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
     """(key, term, weight): counts times ln((1 + n) / (1 + df)) + 1, each text's row of length 1.
 
     Terms are matches of the pattern in lower case, and runs of two if pairs; the `most`

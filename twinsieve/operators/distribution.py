@@ -6,11 +6,17 @@ few, so the pairs of a point and a proxy are as many as the points times a const
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import numbered
 from twinsieve.functions.vectors import distance, dot, norm
+from twinsieve.session import reachable, settle
+
+#: Rows of a block of either side of a sum over pairs.
+BLOCK = 4096
 
 
 def ecf(points: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -46,14 +52,46 @@ def scheduled(scores: DataFrame, frequencies: DataFrame, limit: float, k: int) -
     return scores.join(near, "f").orderBy(F.desc("score"), "f").limit(k)
 
 
-def mmd2(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
-    """One row: biased squared maximum mean discrepancy with a Gaussian kernel. Both sides are meant to be samples."""
+def kernel_mean(x: DataFrame, y: DataFrame, width: float, rows: int = BLOCK) -> DataFrame:
+    """One row: the mean of a Gaussian kernel over all pairs of a row of x(v) and a row of y(v).
+
+    Rows are dealt into blocks of about `rows`; a task holds one block of either side and
+    sums its kernel matrix, so memory does not follow the input and one number a pair of
+    blocks is shuffled.
+    """
+
+    def blocks(df: DataFrame, n: int) -> int:
+        return max(1, -(-n // rows))
+
+    nx, ny = x.count(), y.count()
+    bx, by = blocks(x, nx), blocks(y, ny)
+    left = x.select(F.lit(0).alias("side"), F.pmod(F.xxhash64("v"), F.lit(bx)).alias("bx"), "v").withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(by - 1))))
+    right = y.select(F.lit(1).alias("side"), F.pmod(F.xxhash64("v"), F.lit(by)).alias("by"), "v").withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(bx - 1))))
+    names = ["side", "bx", "by", "v"]
+    both = left.select("side", F.col("bx").cast("long").alias("bx"), F.col("by").cast("long").alias("by"), "v").unionByName(right.select("side", F.col("bx").cast("long").alias("bx"), F.col("by").cast("long").alias("by"), "v")).select(*names)
 
-    def mean(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-        pairs = x.select(F.col("v").alias("x")).crossJoin(y.select(F.col("v").alias("y")))
-        return pairs.agg(F.avg(F.exp(-F.pow(distance(F.col("x"), F.col("y")), 2) / (2 * width * width))).alias(name))
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.stack(part.to_numpy()) if len(part) else None for part in (group.v[group.side == 0], group.v[group.side == 1]))
+        out = 0.0
+        if a is not None and b is not None:
+            norms = (b * b).sum(axis=1)
+            for k in range(0, len(a), 512):
+                part = a[k : k + 512]
+                square = (part * part).sum(axis=1)[:, None] + norms[None, :] - 2 * part @ b.T
+                out += float(np.exp(-np.maximum(square, 0) / (2 * width * width)).sum())
+        return pd.DataFrame({"s": [out]})
+
+    return both.groupBy("bx", "by").applyInPandas(total, "s double").agg((F.sum("s") / F.lit(float(max(nx * ny, 1)))).alias("mean"))
+
+
+def mmd2(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
+    """One row: biased squared maximum mean discrepancy with a Gaussian kernel, over all rows of both sides.
 
-    return mean(a, a, "aa").crossJoin(mean(b, b, "bb")).crossJoin(mean(a, b, "ab")).select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd2"))
+    The work is the product of the rows, in blocks; no row is left out.
+    """
+    reachable(a.sparkSession)
+    aa, bb, ab = (kernel_mean(x, y, width).select(F.col("mean").alias(n)) for x, y, n in ((a, a, "aa"), (b, b, "bb"), (a, b, "ab")))
+    return aa.crossJoin(bb).crossJoin(ab).select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd2"))
 
 
 def median_width(points: DataFrame) -> DataFrame:
@@ -98,7 +136,7 @@ def nearest_loss(points: DataFrame, proxies: DataFrame) -> DataFrame:
 
 def relation_losses(points: DataFrame, edges: DataFrame, proxies: DataFrame, tau: float, eps: float = 1e-8) -> DataFrame:
     """One row: -mean ln coverage, the same one step along the edges, and the edge-weighted gap of neighbours' coverage."""
-    c = coverage(points, proxies, tau).checkpoint()
+    c = settle(coverage(points, proxies, tau))
     near = edges.join(c.select(F.col("i").alias("j"), F.col("cover").alias("cj")), "j")
     ahead = near.groupBy("i").agg(F.sum(F.col("w") * F.col("cj")).alias("a"))
     direct = c.agg((-F.avg(F.log(F.col("cover") + eps))).alias("coverage_loss"))

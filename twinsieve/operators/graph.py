@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import EPS, with_totals
+from twinsieve.session import drop, settle
 
 TINY = 1e-12
 
@@ -204,33 +205,48 @@ def clustering(edges: DataFrame) -> DataFrame:
     return d.join(closed, "i", "left").select("i", t.alias("triangles"), F.when(F.col("d") > 1, 2 * t / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(i, comp): the least node that edges reach. Labels move to the least of the neighbours' and jump to their own label's."""
-    links = without_loops(edges).select("i", "j").distinct().cache()
-    label = nodes.select("i", F.col("i").alias("comp"))
-    for _ in range(rounds):
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(i, comp): the least node that edges reach. Labels move to the least of the neighbours' and jump to their own label's.
+
+    The number of rounds grows with the logarithm of the longest path; a round that moves no
+    label ends the loop, and labels only fall, so it always ends.
+    """
+    links = settle(without_loops(edges).select("i", "j").distinct())
+    label = settle(nodes.select("i", F.col("i").alias("comp")))
+    while True:
         near = links.join(label.select(F.col("i").alias("j"), F.col("comp").alias("c")), "j").groupBy("i").agg(F.min("c").alias("c"))
-        new = label.join(near, "i", "left").select("i", F.least("comp", F.coalesce("c", "comp")).alias("comp"))
-        jump = new.join(new.select(F.col("i").alias("comp"), F.col("comp").alias("up")), "comp").select("i", F.least("comp", "up").alias("comp")).checkpoint()
-        if jump.join(label.withColumnRenamed("comp", "old"), "i").where("comp <> old").isEmpty():
-            return jump
-        label = jump
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def spanning_tree(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """Boruvka's minimum spanning forest of edges(i, j, dist): the least edge of every component, until none joins two."""
-    all_edges = edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("dist").alias("dist")).checkpoint()
-    chosen = all_edges.limit(0)
-    for _ in range(rounds):
-        both = chosen.select(F.col("a").alias("i"), F.col("b").alias("j")).unionByName(chosen.select(F.col("b").alias("i"), F.col("a").alias("j")))
-        comp = components(both, nodes)
-        out = all_edges.join(comp.select(F.col("i").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("i").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
-        ends = out.select("a", "b", "dist", F.explode(F.array("ca", "cb")).alias("c"))
-        least = ends.groupBy("c").agg(F.min(F.struct("dist", "a", "b")).alias("e")).select("e.a", "e.b", "e.dist").distinct()
-        if least.isEmpty():
-            break
-        chosen = chosen.unionByName(least.select("a", "b", "dist")).distinct().checkpoint()
+        new = label.join(near, "i", "left").select("i", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("comp"))
+        up = new.select(F.col("i").alias("comp"), F.col("comp").alias("up"))
+        after = settle(new.join(up, "comp").select("i", "old", F.least("comp", "up").alias("comp")))
+        moved = not after.where("comp <> old").isEmpty()
+        drop(label)
+        label = after
+        if not moved:
+            drop(links)
+            return label.select("i", "comp")
+
+
+def spanning_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Boruvka's minimum spanning forest of edges(i, j, dist): the least edge of every component, until none joins two.
+
+    Each round at least halves the components that edges still join. Labels of components
+    are carried on, and edges within one fall away.
+    """
+    left = settle(edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("dist").alias("dist")).select("a", "b", "dist", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    chosen = settle(left.select("a", "b", "dist").limit(0))
+    comp = nodes.select(F.col("i").alias("c")).distinct()
+    while not left.isEmpty():
+        ends = left.select("a", "b", "dist", "ca", "cb", F.explode(F.array("ca", "cb")).alias("c"))
+        least = settle(ends.groupBy("c").agg(F.min(F.struct("dist", "a", "b", "ca", "cb")).alias("e")).select("e.*").distinct())
+        pairs = least.select(F.col("ca").alias("i"), F.col("cb").alias("j"))
+        label = components(pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), comp.withColumnRenamed("c", "i"))
+        before = chosen, left
+        chosen = settle(chosen.unionByName(least.select("a", "b", "dist")))
+        move = lambda c: label.select(F.col("i").alias(c), F.col("comp").alias(f"new_{c}"))  # noqa: B023, E731
+        left = settle(left.join(move("ca"), "ca").join(move("cb"), "cb").where("new_ca <> new_cb").select("a", "b", "dist", F.col("new_ca").alias("ca"), F.col("new_cb").alias("cb")))
+        comp = label.select(F.col("comp").alias("c")).distinct()
+        for used in (*before, least):
+            drop(used)
     return chosen
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from twinsieve.functions.scores import fuse, normalise, shift_mix, top, with_totals
 from twinsieve.functions.vectors import distance, joint, l2
 from twinsieve.operators.knn import knn
+from twinsieve.session import settle
 
 METHODS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -109,7 +110,7 @@ def rand(pairs: DataFrame, k: int, seed: int = 0) -> DataFrame:
 def kcenter(pairs: DataFrame, k: int, first: int | None = None) -> DataFrame:
     """Farthest first on the joint view: k rounds, each a distance to the last centre and a maximum. Ties by i."""
     spark = pairs.sparkSession
-    v = view(pairs, "joint").withColumn("d", F.lit(float("inf"))).checkpoint()
+    v = settle(view(pairs, "joint").withColumn("d", F.lit(float("inf"))))
     at = v.agg(F.min("i")).first()[0] if first is None else first
     out = []
     for r in range(1, k + 1):
@@ -118,7 +119,7 @@ def kcenter(pairs: DataFrame, k: int, first: int | None = None) -> DataFrame:
         centre = F.array(*[F.lit(x) for x in c["v"]])
         v = v.withColumn("d", F.least("d", distance(F.col("v"), centre)))
         if r % 8 == 0:
-            v = v.checkpoint()
+            v = settle(v)
         if r < k:
             at = v.agg(F.max_by("i", F.struct("d", -F.col("i")))).first()[0]
     return spark.createDataFrame(out, "i long, rank int, score double")
@@ -128,7 +129,7 @@ def kcenter(pairs: DataFrame, k: int, first: int | None = None) -> DataFrame:
 def herd(pairs: DataFrame, k: int) -> DataFrame:
     """The sample nearest to what brings the mean of the chosen back to the mean of all, k times. Ties by i."""
     spark = pairs.sparkSession
-    v = view(pairs, "joint").checkpoint()
+    v = settle(view(pairs, "joint"))
     size = len(v.first()["v"])
     mean = [x for x in v.agg(*[F.avg(F.get("v", F.lit(c))) for c in range(size)]).first()]
     run, out = [0.0] * size, []
@@ -144,7 +145,7 @@ def herd(pairs: DataFrame, k: int) -> DataFrame:
 def suppressed(scored: DataFrame, k: int, radius: float = 0.2) -> DataFrame:
     """scored(i, score, v): the best that is not within the cosine radius of one chosen, k times; then the best of the rest."""
     spark = scored.sparkSession
-    left = scored.select("i", "score", l2(F.col("v"), 1e-8).alias("v")).withColumn("out", F.lit(False)).checkpoint()
+    left = settle(scored.select("i", "score", l2(F.col("v"), 1e-8).alias("v")).withColumn("out", F.lit(False)))
     out: list[tuple[int, int, float]] = []
     while len(out) < k:
         best = left.where("not out").agg(F.max_by(F.struct("i", "score", "v"), F.struct("score", -F.col("i"))).alias("b")).first()["b"]
@@ -155,7 +156,7 @@ def suppressed(scored: DataFrame, k: int, radius: float = 0.2) -> DataFrame:
         sim = F.aggregate(F.zip_with("v", c, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         left = left.withColumn("out", F.col("out") | (sim >= 1 - radius) | (F.col("i") == best["i"]))
         if len(out) % 8 == 0:
-            left = left.checkpoint()
+            left = settle(left)
     if len(out) < k:
         rest = left.where(~F.col("i").isin([o[0] for o in out])).orderBy(F.desc("score"), "i").limit(k - len(out)).collect()
         out += [(r["i"], len(out) + n, float(r["score"])) for n, r in enumerate(rest, 1)]
@@ -236,7 +237,7 @@ def dfool(pairs: DataFrame, k: int, near: int = 128) -> DataFrame:
 def greedy(gradients: DataFrame, target: list[float], k: int) -> DataFrame:
     """gradients(i, v): the largest product with what is left of the target, which it then leaves, k times. Ties by i."""
     spark = gradients.sparkSession
-    g, left, out = gradients.select("i", "v").checkpoint(), list(target), []
+    g, left, out = settle(gradients.select("i", "v")), list(target), []
     for r in range(1, k + 1):
         line = F.array(*[F.lit(float(x)) for x in left])
         s = F.aggregate(F.zip_with("v", line, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinsieve.functions.scores import EPS, shift_mix
 from twinsieve.functions.vectors import l2, norm
 from twinsieve.operators import graph as G
+from twinsieve.session import settle
 
 
 def scales_of(text: str | list[int]) -> list[int]:
@@ -19,10 +20,10 @@ def scales_of(text: str | list[int]) -> list[int]:
 
 def powers(edges: DataFrame, signal: DataFrame, dim: int, most: int) -> list[DataFrame]:
     """signal(i, v) and its first `most` steps of the walk; every step is checkpointed so that plans stay short."""
-    p = G.stochastic(edges).checkpoint()
+    p = settle(G.stochastic(edges))
     out = [signal.select("i", F.transform("v", lambda x: x.cast("double")).alias("v"))]
     for _ in range(most):
-        out.append(G.apply(p, out[-1], dim).checkpoint())
+        out.append(settle(G.apply(p, out[-1], dim)))
     return out
 
 
@@ -41,7 +42,7 @@ def difference_graphs(reference: DataFrame, source: DataFrame, scales: list[int]
     p = G.stochastic(reference)
     step = [source.select("i", "j", "w")]
     for _ in range(2 * max(scales)):
-        step.append(G.sparsified(G.matmul(p, step[-1]), k, threshold).checkpoint())
+        step.append(settle(G.sparsified(G.matmul(p, step[-1]), k, threshold)))
     return {s: G.present(G.aligned(a=step[s], b=step[2 * s]).select("i", "j", (F.col("a") - F.col("b")).alias("w"))) for s in scales}
 
 

@@ -11,6 +11,7 @@ from twinsieve.operators import correction, fuzzy, kernels, matching, wavelet
 from twinsieve.operators import graph as G
 from twinsieve.operators.fusion import confidence_aware, wavelet_latent
 from twinsieve.operators.knn import knn
+from twinsieve.session import settle
 
 
 def modality_graph(features: DataFrame, k: int = 15) -> DataFrame:
@@ -19,8 +20,8 @@ def modality_graph(features: DataFrame, k: int = 15) -> DataFrame:
 
 def unified(image: DataFrame, text: DataFrame, nodes: DataFrame, mode: str = "wavelet_latent", scales: list[int] | None = None, probe_dim: int = 8) -> DataFrame:
     """Guided alignment by local collapse, then the fusion asked for."""
-    weights = correction.collapse_weights(image, text, nodes).checkpoint()
-    a, b = (g.checkpoint() for g in correction.guided(weights, image))
+    weights = settle(correction.collapse_weights(image, text, nodes))
+    a, b = (settle(g) for g in correction.guided(weights, image))
     if mode == "graph":
         return confidence_aware(a, b)
     return wavelet_latent(a, b, wavelet.probes(nodes, probe_dim), probe_dim, scales or [1, 2])
@@ -35,8 +36,8 @@ def choose(pairs: DataFrame, ratio: float | None = None, budget: int | None = No
     nodes = pairs.select("i")
     n = nodes.count()
     size = subset_size(n, ratio, budget)
-    image, text = (modality_graph(pairs.select("i", F.col(c).alias("v")), k).checkpoint() for c in ("img", "txt"))
-    fused = unified(image, text, nodes, mode).checkpoint()
+    image, text = (settle(modality_graph(pairs.select("i", F.col(c).alias("v")), k)) for c in ("img", "txt"))
+    fused = settle(unified(image, text, nodes, mode))
     ids, values, vectors = kernels.spectrum(fused, nodes, min(embed + 1, n), "walk")
     points = kernels.diffusion_embedding(values, vectors, embed)
     rng = np.random.default_rng(0)

@@ -1,11 +1,12 @@
-"""Where Python workers find this package."""
+"""Where Python workers find this package, and where tables are kept between steps."""
 
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -16,3 +17,26 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir and read again, which cuts its lineage.
+
+    Unlike checkpoint(), the new plan takes size and partitions from the files, so that loops
+    do not square an estimate each round. Where the setting is unset, as in tests on one
+    machine, a folder of the warehouse is used. `drop` deletes the files.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/twinsieve-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a settled table that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NUMBER = r"[-+]?\d+(?:\.\d+)?"
+NUMBER = r"([+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
 def json_tree(spark: SparkSession, root: str, name: str) -> DataFrame:
