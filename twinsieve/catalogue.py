@@ -743,3 +743,6 @@ def subset_size(spark, sf_dir):
 def pair_similarity(spark, sf_dir):
     p = pairs(spark, sf_dir)
     return p.select("i", F.round(dot(l2(F.col("img")), l2(F.col("txt"))), 6).alias("cos"), F.round(distance(F.col("img"), F.col("txt")), 6).alias("dist"))
+
+
+from twinsieve import catalogue_more  # noqa: E402, F401  registers its queries
