@@ -39,7 +39,6 @@ def test_stages(spark, sf_dir):
             found = regex.compile(PATTERN.replace("(?U:\\b)", "").replace("(?i:", "(?i:"))
             assert all((t != before[i]) == bool(found.search(before[i])) for i, t in texts[name].items())
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     tokens = {}
     for r in packed:
