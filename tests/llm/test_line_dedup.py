@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -17,12 +18,18 @@ def edits(a, b):
     return row[-1]
 
 
+@functools.lru_cache(maxsize=None)
+def words_of(line):
+    own = re.split(r"[ \t\r]+", line)
+    return own, frozenset(own)
+
+
 def is_near(a, b):
-    u, v = re.split(r"[ \t\r]+", a), re.split(r"[ \t\r]+", b)
+    (u, x), (v, y) = words_of(a), words_of(b)
     if len(u) >= 8 and len(v) >= 8:
         n = min(len(u), len(v))
         most = 1 if n < 18 else 2 if n < 32 else 3
-        return abs(len(u) - len(v)) <= most and edits(u, v) <= most
+        return abs(len(u) - len(v)) <= most and len(x ^ y) <= 2 * most and edits(u, v) <= most
     return len(u) < 8 and len(v) < 8 and min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1
 
 

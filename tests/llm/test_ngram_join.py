@@ -88,3 +88,17 @@ def test_large_group_and_odd_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).collect() == []
+
+
+def test_long_words_and_lines_with_swapped_halves():
+    import pyarrow as pa
+
+    from twinsieve.llm.ngram_join import shingle_sets
+    from twinsieve.llm.text_features import Batch
+
+    a, b = "a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096
+    x, y, z = (s.tolist() for s in shingle_sets(pa.array([a, b, a])))
+    assert x != y and x == z
+    long = ("a " * 32768 + "b " * 32768).strip()
+    swapped = ("b " * 32768 + "a " * 32768).strip()
+    assert Batch(pa.array([long + "\n" + swapped, long + "\n" + long])).dup_lines().tolist() == [0, 1]

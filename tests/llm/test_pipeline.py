@@ -29,7 +29,7 @@ def test_stages(spark, sf_dir):
             kept = {r.doc_id for r in fm_quality.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels).where("predicted = 1").collect()}
             assert set(texts[name]) == kept and all(before[i] == t for i, t in texts[name].items())
         elif name == "line_dedup":
-            want = brute_lines(sorted(before.items()), 1, 24)
+            want = brute_lines(sorted(before.items()))
             assert texts[name] == {i: t for i, t in want if t == before[i] or t.split()}
         elif name == "ngram_jaccard":
             groups = brute_groups(sorted(before.items()))

@@ -91,3 +91,13 @@ def test_native_plan_and_empty(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert replace_entities(docs.where(F.lit(False)), "k").collect() == []
     assert set(surrogates.PATTERNS) == {"secret", "email", "iban", "key", "phone", "ssn", "ip", "ip6", "card", "name"}
+
+
+def test_names_without_a_title_and_any_columns(spark):
+    names = ["_entities", "_to", "_found", "_row", "row", "text2", "nth", "found", "kind"]
+    docs = spark.createDataFrame([(1, "Mr John Smith came. Smith left, John too, Smithson not.", *["k"] * len(names)), (None, None, *["k"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: r for r in replace_entities(docs, "key").collect()}
+    first = got[1].text.split(" ")
+    assert got[1]._entities == 1 and got[None].text is None and got[1].kind == "k" and got[1]._to == "k"
+    john, smith = first[1], first[2]
+    assert "John" != john and got[1].text == f"Mr {john} {smith} came. {smith} left, {john} too, Smithson not."
