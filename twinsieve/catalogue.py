@@ -661,9 +661,9 @@ def ablation_delta(spark, sf_dir):
     return reports.deltas(own, "l_returnflag", "N", ["l_linestatus", "l_linenumber"], "m").select("l_linestatus", "l_linenumber", "l_returnflag", F.round("m", 8).alias("m"), F.round("delta", 8).alias("delta"))
 
 
-@query("SELECT n_nationkey, p FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders) WHERE (n_nationkey, p) NOT IN (SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 250000 AND o_orderstatus = 'F')")
+@query("SELECT n_nationkey, p FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders) WHERE (n_nationkey, p) NOT IN (SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 490000)")
 def missing_grid(spark, sf_dir):
-    found = read(spark, sf_dir, "orders").where("o_totalprice > 250000 AND o_orderstatus = 'F'").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderpriority").alias("p"))
+    found = read(spark, sf_dir, "orders").where("o_totalprice > 490000").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderpriority").alias("p"))
     grid = read(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p")).distinct()))
     return reports.missing(grid, found, ["n_nationkey", "p"])
 

@@ -52,8 +52,10 @@ def match(cost: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def first_unused(near: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(p, i): proxies in order take their nearest candidate that none before took; at most `limit` proxies."""
-    rows = near.orderBy("p", "rank").limit(limit * 256).collect()
+    """(p, i): proxies in order take their nearest candidate that none before took; at most `limit` proxies times 256 candidates, more are refused."""
+    rows = near.orderBy("p", "rank").limit(limit * 256 + 1).collect()
+    if len(rows) > limit * 256:
+        raise ValueError(f"more than {limit * 256} candidates")
     used: set[int] = set()
     out: dict[int, int] = {}
     for r in rows:

@@ -79,7 +79,9 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report of at most `limit` rows as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A report as a Markdown table; one of more than `limit` rows is refused."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows are no report")
     line = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
