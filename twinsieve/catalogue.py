@@ -20,7 +20,7 @@ from twinsieve.operators import graph as G
 from twinsieve.operators.knn import knn
 from twinsieve.plans import reports
 from twinsieve.plans import selection as plan
-from twinsieve.session import settle
+from twinsieve.session import reachable, settle
 from twinsieve.sources import annotations, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ def oracle_sql() -> dict[str, str]:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Put the folder that holds the package on the workers' path, beside what is there already."""
+    """Put the folder that holds the package on the workers' path, beside what is there already.
+
+    Unions are not planned as if they kept their inputs' partitions: adaptive execution may
+    coalesce one input and not the other, and such a union then fails to zip them.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
