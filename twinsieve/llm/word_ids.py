@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from struct import pack
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from .chunks import TAIL, Memo, groups, windows
@@ -35,11 +36,24 @@ class WordIds:
     def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.memo = Memo(split, self.ask, b"".join)
+        self.memo = Memo(split, self.parts, b"".join)
         self.whole = lambda t: _WHOLE.search(t) or (not plain and _SPECIAL in t)
 
     def ask(self, texts: list[str]) -> list[bytes]:
-        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))]
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without white space. Those of ASCII letters are one match each and are given as one text."""
+        letters = [p for p in parts if p.isascii() and p.isalpha()]
+        other = [p for p in parts if not (p.isascii() and p.isalpha())]
+        got = dict(zip(other, self.ask(other), strict=True)) if other else {}
+        if letters:
+            whole = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
+            ids = np.array(whole.ids, dtype="<u4").tobytes()
+            ends = 4 * np.flatnonzero(np.diff(np.array(whole.word_ids, dtype=np.int64), append=-1)) + 4
+            starts = [0, *ends[:-1].tolist()]
+            got |= {p: ids[a:b] for p, a, b in zip(letters, starts, ends.tolist(), strict=True)}
+        return [got[p] for p in parts]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers; null: none."""
