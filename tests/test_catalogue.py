@@ -42,13 +42,3 @@ def test_sql(spark, sf_dir, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_rows(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).count() > 0
-
-
-def test_partitions_other_than_cores(spark, sf_dir):
-    """Adaptive execution coalesces one input of a union and not the other."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
-    try:
-        assert catalogue.queries()["node_confidence_views"](spark, sf_dir).count() > 0
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
