@@ -110,8 +110,38 @@ def test_automaton(spark):
         assert got == {i for i, (a, b) in enumerate(rows) if edits(a, b) <= most}
 
 
-def test_probes_are_those_of_the_thresholds():
-    assert [len(probes(n, True)) for n in (8, 17, 20, 31, 35)] == [4, 4, 12, 12, 26]
+def runs_of(line, by_word):
+    """Keys of a line, by plain slices: (key, filed)."""
+    n = len(line)
+    for t, i, move, size, step, filed in probes(min(n, 35 // 16 * 16 + 16 + n % 16) if by_word and n >= 35 else n if by_word else 0, by_word):
+        size = size or ((n // 16 - step) * 4 if by_word else (n - step) // 2)
+        start = (i * size if 2 * i <= t else n - (t + 1 - i) * size) + move
+        assert size > 0 and start >= 0 and start + size <= n
+        yield (t, i, size if by_word else n - step, tuple(line[start : start + size])), filed
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_lines_within_the_threshold_share_a_filed_key(by_word):
+    rng = random.Random(11)
+    for n in [*range(8, 120), 500] if by_word else range(24, 80):
+        for _ in range(60):
+            short = [rng.randrange(3) for _ in range(n)]
+            most = 1 if not by_word or n < 18 else 2 if n < 32 else 3
+            long = list(short)
+            for _ in range(most):
+                at, kind = rng.randrange(len(long) + 1), rng.randrange(3)
+                if kind == 0:
+                    long.insert(at, rng.randrange(9))
+                elif kind == 1 and at < len(long):
+                    long[at] = rng.randrange(9)
+                elif at < len(long) and len(long) > n:
+                    del long[at]
+            filed = {key for key, own in runs_of(short, by_word) if own}
+            assert filed & {key for key, _ in runs_of(long, by_word)}
+
+
+def test_a_line_has_few_keys():
+    assert [len(probes(n, True)) for n in (8, 17, 20, 31, 35)] == [2, 2, 5, 5, 8]
     assert len(probes(0, False)) == 4
 
 

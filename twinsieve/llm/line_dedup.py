@@ -12,16 +12,18 @@ whatever its length. Lines of fewer words and at least `min_chars` characters ar
 by characters, with one edit. Shorter lines go only as exact repeats.
 
 The join (Li et al., Pass-Join, 2011): equal lines are first made one class, whose first
-line stands for it. A line of n symbols is split into threshold + 1 segments as even as
-can be; two lines within the threshold share one of them. Each line is filed under its
-segments with their number and its length, and looks up the runs that the multi-match-aware
-bounds leave for each length up to the threshold shorter. A first pass only counts the
-keys; a second takes the lines of the keys that several lines share. Pairs are not made of
-all the lines of a key: a line first meets the earliest line of its key that agrees in a
+line stands for it. A line of n symbols is split into threshold + 1 segments; two lines within
+the threshold share one of them, and so the run at its outer end. Runs have one size for
+all lengths of a class and count from the nearer end of the line, so that most lengths ask
+for the same runs. Each line is filed under its runs with their number and size, and looks
+up the runs that the multi-match-aware bounds leave for each length up to the threshold
+shorter. A first pass only counts the keys; a second takes the lines of the keys that
+several lines share. Pairs are not made of
+all the lines of a key: a line first meets the earliest line of its key and length that agrees in a
 quarter of the sketch (the parity of its symbols by hash, 64 bits, of which an edit turns at
 most two), which settles large groups of near copies by as many tests as lines. What that
-leaves meets the lines before it under the key, in a join whose condition holds the sketches
-against each other. Candidates are verified by a banded bit-parallel automaton: one word
+leaves meets the lines before it under the key with a length within the threshold, in a join
+whose condition holds the sketches against each other. Candidates are verified by a banded bit-parallel automaton: one word
 of bits, a bit for each diagonal of the band, for every number of edits, moved on symbol by
 symbol.
 
@@ -44,6 +46,9 @@ from .common import Scratch, tune
 MIN_CHARS = 24
 MIN_WORDS, TWO, THREE = 8, 18, 32
 MOST = 3
+#: Words from which on a run has how many (and the threshold there), below THREE words; beyond, lines of one STEP have runs of one size.
+RUNS = ((8, 1, 4), (12, 1, 6), (TWO, 2, 6), (24, 2, 8))
+STEP = 16
 #: Rows of numbers that a broadcast table may have.
 SMALL = 1_000_000
 
@@ -53,37 +58,48 @@ def allowed(by_word: Column, n: Column) -> Column:
     return F.when(~by_word | (n < TWO), 1).when(n < THREE, 2).otherwise(MOST)
 
 
-def probes(n: int, by_word: bool) -> list[tuple[int, int, int, int]]:
-    """What a line of n symbols is filed under and looks up: (threshold, symbols less, segment, move) of each key.
+def probes(n: int, by_word: bool) -> list[tuple[int, int, int, int, int, bool]]:
+    """What a line of n symbols is filed under and looks up: (threshold, segment, move, size, step, filed) of each key.
 
-    The keys of its own segments come first; a line looks up lines that are as long or up to
-    the threshold shorter, whose segments can stand where the multi-match-aware bounds say.
+    A size of 0 stands for STEP / (MOST + 1) symbols by every whole STEP of the length, less
+    `step` of them; for lines compared by characters, for half of the length less `step`.
+    A line looks up lines that are as long or up to the threshold shorter, whose segments can
+    stand where the multi-match-aware bounds say. Lengths that ask for the same run give one key.
     """
-    t_of = lambda m: 1 if not by_word or m < TWO else 2 if m < THREE else MOST
-    out = [(t_of(n), 0, i, 0) for i in range(t_of(n) + 1)]
+    out: dict[tuple[int, int, int, int, int], bool] = {}
     for less in range(MOST + 1):
-        t = t_of(n - less)
-        for i in range(t + 1 if less <= t else 0):
-            out += [(t, less, i, move) for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1) if less or move]
-    return out
+        m = n - less
+        if not by_word:
+            t, size, step = 1, 0, less
+        elif m >= THREE:
+            t, size, step = MOST, 0, n // STEP - m // STEP
+        else:
+            t, size, step = next(((t, g, 0) for least, t, g in reversed(RUNS) if m >= least), (0, 0, 0))
+        for i in range(t + 1 if less <= t and t else 0):
+            for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
+                key = (t, i, move if 2 * i <= t else move - less, size, step)
+                out[key] = out.get(key, False) or (less == 0 and move == 0)
+    return [(*k, filed) for k, filed in out.items()]
 
 
 def plan_of(by_word: Column, n: Column) -> Column:
     """The probes of a line, as an array of structs from a constant table."""
-    entry = lambda e: F.struct(*[F.lit(v).alias(k) for k, v in zip(("t", "less", "i", "move"), e, strict=True)])
-    # beyond THREE + MOST words all lines look up the same; number 0 is for lines compared by characters
-    table = F.array(*[F.array(*[entry(e) for e in probes(k, k > 0)]) for k in range(THREE + MOST + 1)])
-    return F.get(table, F.when(by_word, F.least(n, F.lit(THREE + MOST))).otherwise(0))
+    names = ("t", "i", "move", "size", "step", "filed")
+    entry = lambda e: F.struct(*[F.lit(v).alias(k) for k, v in zip(names, e, strict=True)])
+    # from THREE + MOST words on, the place within a STEP alone matters; number 0 is for lines compared by characters
+    top = THREE + MOST
+    longer = [probes(top // STEP * STEP + STEP + k, True) for k in range(STEP)]
+    table = F.array(*[F.array(*[entry(e) for e in es]) for es in [probes(k, k > 0) or [(0,) * 5 + (False,)] for k in range(top)] + longer])
+    return F.get(table, F.when(by_word, F.when(n < top, n).otherwise(F.pmod(n, F.lit(STEP)) + top)).otherwise(0))
 
 
 def key_of(c: Column, s: Column, by_word: Column, n: Column) -> Column:
-    """Key of a probe: hash of a run of symbols with the number and the line length of the segment; null where out of bounds."""
-    length, parts = n - c["less"], c["t"] + 1
-    short = (length / parts).cast("int")
-    first_longer = parts - (length - short * parts)  # the longer segments come last
-    start = short * c["i"] + F.greatest(c["i"] - first_longer, F.lit(0)) + c["move"]
-    size = short + (c["i"] >= first_longer).cast("int")
-    return F.when((start >= 0) & (start + size <= n) & (size > 0), F.xxhash64(c["i"], by_word, length, F.slice(s, start + 1, size)))
+    """Key of a probe: hash of a run of symbols with the number and the size of its segment."""
+    by_length = F.when(by_word, ((n / STEP).cast("int") - c["step"]) * (STEP // (MOST + 1))).otherwise(((n - c["step"]) / 2).cast("int"))
+    size = F.when(c["size"] > 0, c["size"]).otherwise(by_length)
+    # the first segments count from the front, the last ones from the end
+    start = F.when(c["i"] * 2 <= c["t"], c["i"] * size).otherwise(n - (c["t"] + 1 - c["i"]) * size) + c["move"]
+    return F.xxhash64(c["t"], c["i"], by_word, F.when(by_word, size).otherwise(n - c["step"]), F.slice(s, start + 1, size))
 
 
 def sketch(s: Column) -> Column:
@@ -194,16 +210,17 @@ class LineJoin:
     def symbols(self, line: Column) -> tuple[Column, Column]:
         """Whether a line is compared by words, and its symbols with line feeds between them; null where it takes no part in the edit join."""
         # a plain replacement where single spaces separate the words, which is most often
-        words = F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, r"[ \t\r]+", "\n")).otherwise(F.replace(line, F.lit(" "), F.lit("\n")))
-        by_word = F.size(F.split(words, "\n")) >= MIN_WORDS
+        wide = line.contains("  ") | line.contains("\t") | line.contains("\r")
+        words = F.when(wide, F.regexp_replace(line, r"[ \t\r]+", "\n")).otherwise(F.replace(line, F.lit(" "), F.lit("\n")))
+        by_word = F.octet_length(F.substring_index(words, "\n", MIN_WORDS - 1)) < F.octet_length(words)
         return by_word, F.when(by_word, words).when(F.length(line) >= self.min_chars, F.array_join(F.split(line, ""), "\n"))
 
     def keys(self, lines: DataFrame) -> DataFrame:
         s, by_word, n = F.col("s"), F.col("by_word"), F.col("n")
         # one row for each probe before its key is formed, as keys are then formed in generated code
         out = lines.select("id", "pos", "h", "s", "by_word", "n", F.explode(plan_of(by_word, n)).alias("c"))
-        out = out.select("id", "pos", "h", key_of(F.col("c"), s, by_word, n).alias("key"), ((F.col("c.less") == 0) & (F.col("c.move") == 0)).alias("filed"))
-        return out.where("key is not null").select("key", "id", "pos", "h", "filed")
+        out = out.select("id", "pos", "h", key_of(F.col("c"), s, by_word, n).alias("key"), "c.filed")
+        return out.select("key", "id", "pos", "h", "filed")
 
     def verified(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
         """Late ends (id, pos, h) of those pairs(late, early) that are within the threshold."""
@@ -235,14 +252,15 @@ class LineJoin:
 
         quarter = F.explode(F.array(*[F.shiftrightunsigned("sk", 16 * k).bitwiseAND(F.lit(0xFFFF)) * 4 + k for k in range(4)]))
         me = F.struct("o", "n", "by_word", "sk")
-        parted = found.select("key", quarter.alias("q"), "filed", me.alias("me"))
-        lead = parted.groupBy("key", "q").agg(F.min(F.when(F.col("filed"), F.col("me"))).alias("first_filed"), F.min("me").alias("first"))
-        pairs = parted.join(lead, ["key", "q"]).withColumn("lead", F.when(F.col("filed"), F.col("first")).otherwise(F.col("first_filed")))
+        parted = found.select("key", "n", quarter.alias("q"), "filed", me.alias("me"))
+        lead = parted.groupBy("key", "n", "q").agg(F.min(F.when(F.col("filed"), F.col("me"))).alias("first_filed"), F.min("me").alias("first"))
+        pairs = parted.join(lead, ["key", "n", "q"]).withColumn("lead", F.when(F.col("filed"), F.col("first")).otherwise(F.col("first_filed")))
         done = self.scratch.write(self.verified(pairs.where(fits("lead", "me")).select(F.col("me.o").alias("late"), F.col("lead.o").alias("early")).distinct(), lines))
 
         rest = found.join(self.sized(done).select(F.struct("id", "pos", "h").alias("o")), "o", "left_anti")
-        x, y = found.select("key", me.alias("x"), F.col("filed").alias("xf")), rest.select("key", me.alias("y"), F.col("filed").alias("yf"))
-        pairs = x.join(y, "key").where((F.col("xf") | F.col("yf")) & fits("x", "y")).select(F.col("y.o").alias("late"), F.col("x.o").alias("early")).distinct()
+        lengths = F.explode(F.sequence(F.col("n") - MOST, F.col("n") + MOST))
+        x, y = found.select("key", "n", me.alias("x"), F.col("filed").alias("xf")), rest.select("key", lengths.alias("n"), me.alias("y"), F.col("filed").alias("yf"))
+        pairs = x.join(y, ["key", "n"]).where((F.col("xf") | F.col("yf")) & fits("x", "y")).select(F.col("y.o").alias("late"), F.col("x.o").alias("early")).distinct()
         return done.unionByName(self.verified(pairs, lines))
 
     def gone(self) -> DataFrame:
