@@ -182,7 +182,8 @@ def worded(line: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+    # trimming spaces alone looks at the ends only
+    return F.lower(F.when(line.contains("\t") | line.contains("\r"), F.btrim(line, F.lit(" \t\r"))).otherwise(F.trim(line)))
 
 
 class LineJoin:
@@ -203,8 +204,9 @@ class LineJoin:
 
     def lines(self) -> DataFrame:
         text = self.rows.select(self.own(self.id_col).alias("id"), self.own(self.text_col).alias("text")).where("id is not null and text is not null")
-        text = text.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "pos", normal(F.col("line")).alias("line"))
-        text = text.where((F.length("line") >= self.min_chars) | worded(F.col("line")))
+        text = text.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        # held against the line as it stands, so that most lines are normalised once, below
+        text = text.where(worded(F.col("line")) | (F.length(normal(F.col("line"))) >= self.min_chars)).select("id", "pos", normal(F.col("line")).alias("line"))
         return text.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
 
     def symbols(self, line: Column) -> tuple[Column, Column]:
