@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinsieve.session import settle
+
 EPS = 1e-8
 
 
@@ -39,11 +41,13 @@ def numbered(df: DataFrame, order: list[Column], name: str, parts: int | None =
     """df with its rows numbered from 0 in a total order.
 
     Rows are range-partitioned, numbered within partitions, and moved on by the counts of
-    the partitions before, so no task holds more than its range.
+    the partitions before, so no task holds more than its range. The ranges are those of a
+    sample, drawn anew in every plan: the counts are taken of the rows as they were written.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     cut = cut.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    cut = settle(cut)
     count = cut.groupBy("_part").agg(F.count("*").alias("_c"))
     count = count.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
     return cut.join(F.broadcast(count), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
