@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from twinsieve import oracle as O
 from twinsieve.functions import scores, text
 from twinsieve.functions.vectors import distance, dot, l2
-from twinsieve.operators import correction, distribution, fusion, fuzzy, kernels, matching, retrieval, selection, wavelet
+from twinsieve.operators import correction, distribution, fusion, fuzzy, kernels, matching, retrieval, selection, spectral, wavelet
 from twinsieve.operators import graph as G
 from twinsieve.operators.knn import knn
 from twinsieve.plans import reports
@@ -414,7 +414,7 @@ def collapse_metrics(spark, sf_dir):
     nodes, a, b = both(spark, sf_dir)
     out = []
     for name, g in (("image", a), ("text", b)):
-        _, values, _ = kernels.spectrum(g, nodes, 64)
+        values, _ = spectral.spectrum(g, nodes, 64, vectors=False)
         h, c = kernels.collapse(values)
         out.append((name, round(h, 6), round(c, 6), len(values)))
     return spark.createDataFrame(out, "graph string, spectral_entropy double, collapse_score double, num_eigs int")
@@ -423,8 +423,8 @@ def collapse_metrics(spark, sf_dir):
 @query()
 def diffusion_embedding(spark, sf_dir):
     nodes, a = one(spark, sf_dir)
-    ids, values, vectors = kernels.spectrum(a, nodes, 9, "walk")
-    return kernels.as_rows(spark, ids, kernels.diffusion_embedding(values, vectors, 8)).select("i", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+    values, rows = spectral.spectrum(a, nodes, 9, "walk")
+    return spectral.embedded(rows, values, 8).select("i", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
 
 
 # ------------------------------------------------------------------ losses between point sets
