@@ -15,6 +15,7 @@ share of label 1, or 1 if there is no label.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,9 +84,8 @@ def constant(share: float) -> Machine:
     return Machine(float(np.log(share / (1 - share))), np.zeros(words, np.float32), np.zeros((words, FACTORS), np.float32), np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE, epochs: int = 8, seed: int = 1) -> Machine:
-    """Adam on the log loss, with the rows of either label weighing alike, on a bounded sample."""
-    got = labelled(docs, labels, id_col, text_col, label, sample).select("id", "text", "y").mapInArrow(per_batch(features), "id long, y int, idx array<int>, structure array<double>").toArrow()
+def machine(got: pa.Table, epochs: int, seed: int) -> Machine:
+    """Adam on the log loss over rows (id, y, idx, structure), with those of either label weighing alike."""
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     y = got.column("y").to_numpy()[order].astype(np.float32)
     if not len(y) or y.min() == y.max():
@@ -130,6 +130,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return m
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE, epochs: int = 8, seed: int = 1) -> Machine:
+    """The machine of a bounded sample, fitted by one task, so that its rows never come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            m = machine(pa.Table.from_batches(held), epochs, seed)
+            parts = {"w": m.w, "v": m.v, "mean": m.mean, "scale": m.scale}
+            yield pa.RecordBatch.from_arrays([pa.array([float(m.w0)]), *(pa.array([x.tobytes()], pa.binary()) for x in parts.values())], names=["w0", *parts])
+
+    rows = labelled(docs, labels, id_col, text_col, label, sample).select("id", "text", "y").mapInArrow(per_batch(features), f"id {dict(docs.dtypes)[id_col]}, y int, idx array<int>, structure array<double>")
+    got = rows.repartition(1).mapInArrow(run, "w0 double, w binary, v binary, mean binary, scale binary").first()
+    if got is None:
+        return constant(1.0)
+    w, v = np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32)
+    return Machine(got["w0"], w, v.reshape(-1, FACTORS), np.frombuffer(got["mean"]), np.frombuffer(got["scale"]))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs -> (id_col, held_out, score, predicted), a row for each row of docs."""
     spark = tune(docs.sparkSession)

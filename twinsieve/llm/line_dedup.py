@@ -38,6 +38,8 @@ names; those called _lines or _removed are replaced.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,11 +87,12 @@ def probes(n: int, by_word: bool) -> list[tuple[int, int, int, int, int, bool]]:
 def plan_of(by_word: Column, n: Column) -> Column:
     """The probes of a line, as an array of structs from a constant table."""
     names = ("t", "i", "move", "size", "step", "filed")
-    entry = lambda e: F.struct(*[F.lit(v).alias(k) for k, v in zip(names, e, strict=True)])
     # from THREE + MOST words on, the place within a STEP alone matters; number 0 is for lines compared by characters
     top = THREE + MOST
     longer = [probes(top // STEP * STEP + STEP + k, True) for k in range(STEP)]
-    table = F.array(*[F.array(*[entry(e) for e in es]) for es in [probes(k, k > 0) or [(0,) * 5 + (False,)] for k in range(top)] + longer])
+    table = [probes(k, k > 0) or [(0,) * 5 + (False,)] for k in range(top)] + longer
+    # one text that is read once: thousands of literals stay in the driver's memory with every plan
+    table = F.from_json(F.lit(json.dumps([[dict(zip(names, e, strict=True)) for e in es] for es in table])), "array<array<struct<t:int,i:int,move:int,size:int,step:int,filed:boolean>>>")
     return F.get(table, F.when(by_word, F.when(n < top, n).otherwise(F.pmod(n, F.lit(STEP)) + top)).otherwise(0))
 
 
