@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsieve.session import reachable
@@ -29,6 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim(spark: SparkSession) -> bool:
+    """Give back to the system what the driver's JVM has freed beside its heap; whether the JVM can.
+
+    Each plan leaves the memory of the compiler threads free but with the C library, which
+    keeps it for each thread: hundreds of MB once some plans have run. Only memory that is
+    in no use is given back. JVMs without this command, and other C libraries, are left as they are.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # by the public interface, as the class of the server is closed to reflection
+        kinds = [jvm.java.lang.Class.forName(k) for k in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", _array(gateway, jvm.java.lang.Class, kinds))
+        call.invoke(beans, _array(gateway, jvm.java.lang.Object, [command, "systemTrimNativeHeap", None, None]))
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def _array(gateway, kind, values: list):
+    out = gateway.new_array(kind, len(values))
+    for k, v in enumerate(values):
+        out[k] = v
+    return out
+
+
 class Scratch:
     """Parquet tables in the folder that all executors share, to cut lineage.
 
@@ -46,6 +74,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        trim(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -60,6 +89,7 @@ class Scratch:
         """Let Spark delete the shuffle files of plans that nothing refers to any more."""
         gc.collect()
         self.spark._jvm.System.gc()
+        trim(self.spark)
 
 
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
