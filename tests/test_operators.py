@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import subset_size
-from twinsieve.operators import correction, fusion, kernels, selection
+from twinsieve.operators import correction, fusion, kernels, retrieval, selection
 from twinsieve.operators import graph as G
-from twinsieve.operators.knn import knn
+from twinsieve.operators.knn import Nearest, knn, nearest
 from twinsieve.sources import annotations, runs
 from twinsieve.streaming import windowed
 
@@ -59,6 +59,69 @@ def test_knn_in_blocks_equals_one_block(spark):
         assert {(r.i, r.rank): r.j for r in knn(df, 4, block=block).collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e30])
+def test_nearest_of_blocks_is_brute_force(metric, scale):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6))
+    x[40:300], x[5], x[600:] = x[30], 0.0, x[600:] + 1e5
+    x *= scale
+    ids = rng.permutation(700) * 3 - 7
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+    for with_self in (False, True):
+        near = Nearest(ids, x, 9, metric, with_self)
+        for s in range(0, 700, 130):
+            near.meet(ids[s : s + 130], x[s : s + 130])
+        ends = [(np.frombuffer(n, np.int32), np.frombuffer(j, np.int64), np.frombuffer(d, np.float64)) for _, n, j, d in near.rows()]
+        assert (np.concatenate([n for n, _, _ in ends]) == 9).all()
+        j, d = (np.concatenate([e[c] for e in ends]).reshape(700, 9) for c in (1, 2))
+        for r in range(700):
+            own = np.sqrt(((x[r] - x) ** 2).sum(axis=1)) if metric == "l2" else 1 - (u[r] * u).sum(axis=1)
+            order = np.lexsort((ids, own))
+            order = order[with_self | (ids[order] != ids[r])][:9]
+            assert (j[r] == ids[order]).all() and (d[r] == own[order]).all()
+
+
+def written(plan):
+    """Rows that a plan dealt out anew, over all its shuffles, after it ran."""
+    text = plan._jdf.queryExecution().executedPlan()
+    found, left = 0, [text]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found += node.metrics().apply("shuffleRecordsWritten").value()
+            left += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_knn_deals_out_no_vectors(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(200)], "i long, v array<double>").repartition(3)
+    near = nearest(df, 3, block=16)
+    assert len(near.collect()) == 200
+    assert written(near) == 0
+
+
+def test_recall_in_group_forms_no_pairs(spark):
+    labels = [1] * 150 + [2] * 48 + [3, None]
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(y) for y in rng.normal(size=4)], label) for i, label in enumerate(labels)], "i long, v array<double>, label int")
+    ranks = knn(rows, 6, "cosine", with_self=True)
+    best = {i: 99 for i in range(200)}
+    for r in ranks.collect():
+        if r.i != r.j and labels[r.i] is not None and labels[r.i] == labels[r.j]:
+            best[r.i] = min(best[r.i], r.rank)
+    got = retrieval.recall_in_group(ranks, rows, "label", (2, 6))
+    row = got.collect()[0]
+    assert row.r2 == pytest.approx(sum(b <= 2 for b in best.values()) / 2) and row.r6 == pytest.approx(sum(b <= 6 for b in best.values()) / 2)
+    assert written(got) < 20 * 200  # of the pairs of equal labels there are 24,804
+
+
 def test_assignment_is_the_cheapest():
     rng = random.Random(0)
     for _ in range(40):

@@ -616,7 +616,7 @@ h AS (SELECT c.i, min(rank) FILTER (x.label = y.label AND c.i <> c.j) AS best FR
 def recall_relevance(spark, sf_dir):
     p = pairs(spark, sf_dir)
     ranks = selection.neighbours(p.select("i", F.col("img").alias("v")), 6)
-    return retrieval.recall(ranks, retrieval.same_group(p, "label").where("i <> j"), (2, 6)).select(*r6("r2", "r6"))
+    return retrieval.recall_in_group(ranks, p, "label", (2, 6)).select(*r6("r2", "r6"))
 
 
 @query("SELECT user_id AS i, count(*) FILTER (prev AND NOT learned) AS forgotten FROM (SELECT user_id, value > 50 AS learned, lag(value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) GROUP BY user_id")

@@ -15,7 +15,22 @@ def ranked(queries: DataFrame, base: DataFrame, k: int = 128) -> DataFrame:
 
 def recall(ranks: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row: the share of queries in truth(i, j) with a true j among the first k, times 100. A query never hit counts 0."""
-    best = truth.join(ranks.select("i", "j", "rank"), ["i", "j"], "left").groupBy("i").agg(F.min("rank").alias("best"))
+    best = truth.join(ranks.where(F.col("rank") <= max(at)).select("i", "j", "rank"), ["i", "j"], "left").groupBy("i").agg(F.min("rank").alias("best"))
+    return _within(best, at)
+
+
+def recall_in_group(ranks: DataFrame, rows: DataFrame, key: str, at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row: the share of queries with another row of their group among the first k, times 100; one without a group, or alone in it, counts 0.
+
+    The neighbours' groups are compared; the pairs of a group, whose number grows with its square, are never formed.
+    """
+    group = rows.select("i", key)
+    near = ranks.where(F.col("rank") <= max(at)).join(group.withColumnRenamed(key, "_own"), "i").join(group.select(F.col("i").alias("j"), F.col(key).alias("_other")), "j")
+    hit = (F.col("_own") == F.col("_other")) & (F.col("i") != F.col("j"))
+    return _within(near.groupBy("i").agg(F.min(F.when(hit, F.col("rank"))).alias("best")), at)
+
+
+def _within(best: DataFrame, at: tuple[int, ...]) -> DataFrame:
     return best.agg(*[(100 * F.avg(F.coalesce((F.col("best") <= k).cast("double"), F.lit(0.0)))).alias(f"r{k}") for k in at])
 
 

@@ -24,17 +24,17 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir and read again, which cuts its lineage.
 
     Unlike checkpoint(), the new plan takes size and partitions from the files, so that loops
     do not square an estimate each round. Where the setting is unset, as in tests on one
-    machine, a folder of the warehouse is used. `drop` deletes the files.
+    machine, a folder of the warehouse is used. `drop` deletes the files. Options are the writer's.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/twinsieve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_path = path
     return out
