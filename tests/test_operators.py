@@ -107,6 +107,36 @@ def test_knn_deals_out_no_vectors(spark):
     assert written(near) == 0
 
 
+@pytest.mark.parametrize("name", ["entropy", "dataprophet"])
+def test_selectors_deal_out_a_row_a_query(spark, monkeypatch, name):
+    rng = np.random.default_rng(6)
+    pairs = spark.createDataFrame([(i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for i in range(120)], "i long, img array<double>, txt array<double>")
+    plans = []
+    monkeypatch.setattr(selection, "_best", lambda scored, k: plans.append(scored) or scored)
+    monkeypatch.setattr(selection, "settle", lambda df: plans.append(df) or df, raising=False)
+    selection.select(name, pairs, 5)
+    assert plans[0].count() == 120
+    plans[0].collect()
+    assert 0 < written(plans[0]) <= 6 * 120  # a list of neighbours a query would be 32 rows and more
+
+
+def test_lists_are_described_as_by_the_formulas(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.i: r for r in selection.described(rows, 8, 0.2).collect()}
+    for i in range(90):
+        d = 1 - u @ u[i]
+        near = np.argsort(d)[:8]
+        p = np.exp((1 - d[near]) / 0.2)
+        p /= p.sum()
+        assert got[i].j == near.tolist()
+        assert got[i].entropy == pytest.approx(-(p * np.log(p)).sum()) and got[i].diversity == pytest.approx(d[near[1:]].mean())
+    alone = selection.described(rows.where("i = 0"), 8).collect()
+    assert len(alone) == 1 and alone[0].entropy == 0 and abs(alone[0].diversity) < 1e-12
+
+
 def test_recall_in_group_forms_no_pairs(spark):
     labels = [1] * 150 + [2] * 48 + [3, None]
     rng = np.random.default_rng(2)

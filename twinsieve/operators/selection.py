@@ -6,14 +6,17 @@ are registered by name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import fuse, normalise, shift_mix, top, with_totals
 from twinsieve.functions.vectors import distance, joint, l2
-from twinsieve.operators.knn import knn
+from twinsieve.operators.knn import knn, nearest
 from twinsieve.session import settle
 
 METHODS: dict[str, Callable[..., DataFrame]] = {}
@@ -46,12 +49,35 @@ def neighbours(features: DataFrame, k: int) -> DataFrame:
     return knn(features, k, "cosine", with_self=True)
 
 
-def entropy_of(near: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """(i, entropy) of the softmax of similarities to the neighbours."""
-    z = near.withColumn("z", (1 - F.col("dist")) / temperature)
-    z = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(Window.partitionBy("i"))))
-    p = F.col("e") / F.greatest(F.sum("e").over(Window.partitionBy("i")), F.lit(1e-8))
-    return z.withColumn("p", p).groupBy("i").agg((-F.sum(F.col("p") * F.log(F.greatest("p", F.lit(1e-8))))).alias("entropy"))
+def _describe(temperature: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.table(batch)
+            t = t.filter(pc.greater(pc.list_value_length(t["j"]), 0)).combine_chunks()
+            if not t.num_rows:
+                continue
+            size = pc.list_value_length(t["j"]).to_numpy().astype(np.int64)
+            d = t["dist"].combine_chunks().flatten().to_numpy()
+            first = np.cumsum(size) - size
+            z = (1 - d) / temperature
+            e = np.exp(z - np.repeat(np.maximum.reduceat(z, first), size))
+            p = e / np.repeat(np.maximum(np.add.reduceat(e, first), 1e-8), size)
+            entropy = -np.add.reduceat(p * np.log(np.maximum(p, 1e-8)), first)
+            others = np.add.reduceat(np.where(np.arange(len(d)) == np.repeat(first, size), 0.0, d), first)
+            diversity = np.where(size > 1, others / np.maximum(size - 1, 1), d[first])
+            yield pa.RecordBatch.from_arrays([t["i"].combine_chunks(), pa.array(entropy), pa.array(diversity), t["j"].combine_chunks()], names=["i", "entropy", "diversity", "j"])
+
+    return run
+
+
+def described(features: DataFrame, k: int, temperature: float = 0.07) -> DataFrame:
+    """(i, entropy, diversity, j) of each row's cosine neighbours, the row itself among them.
+
+    The entropy is that of the softmax of the similarities, the diversity the mean distance
+    to the neighbours but the first. Both are taken where the list is found, so that only
+    a row a query is kept or dealt out; every use of the result searches again.
+    """
+    return nearest(features, k, "cosine", with_self=True).mapInArrow(_describe(temperature), "i long, entropy double, diversity double, j array<long>")
 
 
 def diversity_of(near: DataFrame) -> DataFrame:
@@ -59,19 +85,18 @@ def diversity_of(near: DataFrame) -> DataFrame:
     return near.groupBy("i").agg(F.coalesce(F.avg(F.when(F.col("rank") > 1, F.col("dist"))), F.min("dist")).alias("diversity"))
 
 
-def overlap_of(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """(i, overlap): neighbours in both lists over k."""
-    both = a.select("i", "j").join(b.select("i", "j"), ["i", "j"]).groupBy("i").agg((F.count("*") / k).alias("overlap"))
-    return a.select("i").distinct().join(both, "i", "left").select("i", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+def _shared(a: str, b: str, k: int) -> Column:
+    """Neighbours in both lists over k."""
+    return F.size(F.array_intersect(a, b)) / k
 
 
 @method("entropy")
 def entropy(pairs: DataFrame, k: int, near: int = 64, temperature: float = 0.07, **fusion) -> DataFrame:
     s = None
     for which in ("img", "txt", "joint"):
-        own = entropy_of(neighbours(view(pairs, which), near), temperature).withColumnRenamed("entropy", f"score_{which}")
+        own = described(view(pairs, which), near, temperature).select("i", F.col("entropy").alias(f"score_{which}"))
         s = own if s is None else s.join(own, "i")
-    return _best(fuse(s, **fusion), k)
+    return _best(fuse(settle(s), **fusion), k)
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -80,25 +105,24 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 @method("presel")
 def presel(pairs: DataFrame, k: int, near: int = 32, temperature: float = 0.07) -> DataFrame:
-    n = neighbours(view(pairs, "img"), near)
-    return _best(entropy_of(n, temperature).join(diversity_of(n), "i").withColumn("score_pair", 0.7 * F.col("entropy") + 0.3 * F.col("diversity")), k)
+    return _best(described(view(pairs, "img"), near, temperature).withColumn("score_pair", 0.7 * F.col("entropy") + 0.3 * F.col("diversity")), k)
 
 
 @method("visa")
 def visa(pairs: DataFrame, k: int, near: int = 32, temperature: float = 0.07) -> DataFrame:
-    n, t = neighbours(view(pairs, "img"), near), neighbours(view(pairs, "txt"), near)
-    s = entropy_of(n, temperature).join(diversity_of(n), "i").join(overlap_of(n, t, near), "i")
+    t = described(view(pairs, "txt"), near, temperature).select("i", F.col("j").alias("j_txt"))
+    s = described(view(pairs, "img"), near, temperature).join(t, "i").withColumn("overlap", _shared("j", "j_txt", near))
     return _best(s.withColumn("score_pair", 0.8 * (0.6 * F.col("entropy") + 0.4 * F.col("diversity")) + 0.2 * F.col("overlap")), k)
 
 
 @method("dataprophet")
 def dataprophet(pairs: DataFrame, k: int, near: int = 32, temperature: float = 0.07) -> DataFrame:
-    n = {w: neighbours(view(pairs, w), near) for w in ("img", "txt", "joint")}
-    s = overlap_of(n["img"], n["txt"], near).join(diversity_of(n["joint"]), "i")
-    for w, own in n.items():
-        s = s.join(entropy_of(own, temperature).withColumnRenamed("entropy", f"e_{w}"), "i")
+    s = None
+    for w in ("img", "txt", "joint"):
+        own = described(view(pairs, w), near, temperature).select("i", F.col("entropy").alias(f"e_{w}"), "diversity" if w == "joint" else F.col("j").alias(f"j_{w}"))
+        s = own if s is None else s.join(own, "i")
     perplexity = 0.4 * F.col("e_img") + 0.4 * F.col("e_txt") + 0.2 * F.col("e_joint")
-    return _best(s.withColumn("score_pair", 0.45 * perplexity + 0.30 * F.col("overlap") + 0.25 * F.col("diversity")), k)
+    return _best(s.withColumn("score_pair", 0.45 * perplexity + 0.30 * _shared("j_img", "j_txt", near) + 0.25 * F.col("diversity")), k)
 
 
 @method("rand", "ccs-rand")
