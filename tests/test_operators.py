@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.functions.scores import subset_size
-from twinsieve.operators import correction, fusion, kernels, retrieval, selection
+from twinsieve.operators import correction, fusion, fuzzy, kernels, retrieval, selection
 from twinsieve.operators import graph as G
 from twinsieve.operators.knn import Nearest, knn, nearest
 from twinsieve.sources import annotations, runs
@@ -152,6 +152,60 @@ def test_recall_in_group_forms_no_pairs(spark):
     assert written(got) < 20 * 200  # of the pairs of equal labels there are 24,804
 
 
+def weights_of(df):
+    return {(r.i, r.j): r.w for r in df.collect()}
+
+
+def test_recall_deals_out_no_rank_beyond_its_own(spark):
+    ranks = spark.createDataFrame([(i, r, (i + r * r) % 50, r / 100) for i in range(50) for r in range(1, 41)], "i long, rank int, j long, dist double")
+    truth = spark.range(50).selectExpr("id as i", "(id + 9) % 50 as j")
+    got = retrieval.recall(ranks, truth, (1, 3))
+    assert [tuple(r) for r in got.collect()] == [(0.0, 100.0)]
+    assert written(got) <= 50 * 3 + 50 + 50 + 8
+
+
+def test_union_meets_each_edge_once(spark):
+    rows = [(0, 1, 0.5), (1, 0, 0.25), (2, 0, 0.5), (3, 3, 0.5), (1, 2, 1.0)]
+    got = fuzzy.union(spark.createDataFrame(rows, "i long, j long, w double").repartition(3))
+    once = {(0, 1): 0.625, (0, 2): 0.5, (1, 2): 1.0}
+    want = once | {(j, i): w for (i, j), w in once.items()} | {(3, 3): 0.75}
+    assert weights_of(got) == want
+    plan = fuzzy.union(spark.createDataFrame(rows, "i long, j long, w double").repartition(3))
+    plan.collect()
+    assert written(plan) <= 5 + 5  # one row an edge, beside the repartition of the input
+    assert weights_of(fuzzy.union_of_symmetric(got)) == weights_of(fuzzy.union(got))
+
+
+def test_listed_graph_is_that_of_the_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 4)))], "i long, v array<double>")
+    got, want = weights_of(fuzzy.listed_graph(nearest(rows, 7), 5)), weights_of(fuzzy.local_graph(knn(rows, 7), 5))
+    assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e], abs=1e-12) for e in want)
+
+
+def test_shares_are_taken_of_edges_dealt_out_once(spark, graphs):
+    a, b, _ = graphs
+    n = a.count() + b.count()
+    for make in (lambda: correction.confidence_weights(a, b, (0.5, 0.5), gated=False), lambda: G.edge_adjustment(None, a, b)):
+        plan = make()
+        plan.collect()
+        assert written(plan) <= n + 8
+    x, y = ({e: w * 0.5 / sum(v for (i, _), v in g.items() if i == e[0]) for e, w in g.items()} for g in (weights_of(a), weights_of(b)))
+    for r in correction.confidence_weights(a, b, (0.5, 0.5), gated=False).collect():
+        p, q = x.get((r.i, r.j), 0.0), y.get((r.i, r.j), 0.0)
+        assert r.t2i == pytest.approx((q - p * q) / (q - p * q + 1e-8)) and r.i2t == pytest.approx((p - p * q) / (p - p * q + 1e-8))
+    assert G.edge_adjustment(G.aligned(a=a, b=b), a, b).collect() == G.edge_adjustment(None, a, b).collect()
+    few = G.edge_adjustment(b, a, b).collect()[0]
+    assert few["total"] == b.count()
+
+
+def test_fused_edges_are_dealt_out_twice(spark, graphs):
+    a, b, _ = graphs
+    plan = fusion.confidence_aware(a, b)
+    plan.collect()
+    assert written(plan) <= 2 * (a.count() + b.count())  # by row, then by edge
+
+
 def test_assignment_is_the_cheapest():
     rng = random.Random(0)
     for _ in range(40):

@@ -134,8 +134,11 @@ def gate(source: Column, target: Column, high: float = 0.6, low: float = 0.3, ga
 
 def confidence_weights(image: DataFrame, text: DataFrame, shares: tuple[float, float], kappas: tuple[DataFrame | None, DataFrame | None] = (None, None), gated: bool = True, eps: float = EPS) -> DataFrame:
     """(i, j, image, text, t2i, i2t) from C = share * P * sqrt(kappa_i kappa_j) of either side, with the hard gate or without."""
-    ci, ct = (edge_scaled(G.stochastic(g), s, k) for g, s, k in zip((image, text), shares, kappas, strict=True))
-    both = G.aligned(image=image, text=text, ci=ci, ct=ct)
+    if kappas[0] is None and kappas[1] is None:
+        both = G.aligned_shares(image, text, shares).withColumnsRenamed({"a": "image", "b": "text", "pa": "ci", "pb": "ct"})
+    else:
+        ci, ct = (edge_scaled(G.stochastic(g), s, k) for g, s, k in zip((image, text), shares, kappas, strict=True))
+        both = G.aligned(image=image, text=text, ci=ci, ct=ct)
     a, b = F.col("ci"), F.col("ct")
     up, down = F.greatest(b - a * b, F.lit(0.0)), F.greatest(a - a * b, F.lit(0.0))
     t2i, i2t = up / (up + eps), down / (down + eps)

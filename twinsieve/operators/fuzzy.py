@@ -59,9 +59,19 @@ def directed(knn: DataFrame, scale: DataFrame) -> DataFrame:
 
 def union(edges: DataFrame) -> DataFrame:
     """A + A' - A * A': an edge if it holds in either direction."""
-    both = edges.select("i", "j", F.col("w").alias("a"), F.lit(0.0).alias("b")).unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(0.0).alias("a"), F.col("w").alias("b")))
-    sums = both.groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return sums.select("i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("w")).where("w <> 0")
+    # an edge is dealt out once, under the lesser end, and turned after the sum
+    forth, back = F.when(F.col("i") <= F.col("j"), F.col("w")), F.when(F.col("i") >= F.col("j"), F.col("w"))
+    rows = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.coalesce(forth, F.lit(0.0)).alias("a"), F.coalesce(back, F.lit(0.0)).alias("b"))
+    sums = rows.groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = sums.select("i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("w")).where("w <> 0")
+    ends = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
+    both = F.when(F.col("i") == F.col("j"), F.array(ends("i", "j"))).otherwise(F.array(ends("i", "j"), ends("j", "i")))
+    return sums.select(F.explode(both).alias("e"), "w").select("e.i", "e.j", "w")
+
+
+def union_of_symmetric(edges: DataFrame) -> DataFrame:
+    """The union of a graph that has every edge in both directions, of one weight: no edge need meet its reverse."""
+    return edges.select("i", "j", (F.col("w") + F.col("w") - F.col("w") * F.col("w")).alias("w")).where("w <> 0")
 
 
 def merge(graphs: list[DataFrame], mode: str = "mean") -> DataFrame:
@@ -88,6 +98,16 @@ def local_graph(knn: DataFrame, k: int, **options) -> DataFrame:
     return union(directed(near, scales(near, k, **options)))
 
 
+def listed_graph(lists: DataFrame, k: int, connectivity: float = 1.0, target: float | None = None, steps: int = 64) -> DataFrame:
+    """local_graph of lists (i, j, dist), nearest first: the scales are found beside the list that they are of."""
+    near = lists.where(F.size("j") > 0).select("i", F.slice("j", 1, k).alias("j"), F.slice("dist", 1, k).alias("d"))
+    near = near.withColumn("rho", rho(F.col("d"), connectivity))
+    near = near.withColumn("sigma", sigma(F.col("d"), F.col("rho"), math.log2(k + 1) if target is None else target, steps))
+    rows = near.select("i", "rho", "sigma", F.explode(F.arrays_zip("j", "d")).alias("e"))
+    w = F.exp(-F.greatest(F.lit(0.0), F.col("e.d") - F.col("rho")) / F.col("sigma"))
+    return union(rows.select("i", F.col("e.j").alias("j"), F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0)).alias("w")).where("w <> 0"))
+
+
 def multi_scale(knn: DataFrame, ks: list[int], mode: str = "mean", **options) -> DataFrame:
     """The merged graph of several sizes, from one list of the largest; the merge is made symmetric once more."""
     return union(merge([local_graph(knn, k, **options) for k in sorted(set(ks))], mode))

@@ -23,6 +23,17 @@ def aligned(**graphs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in graphs])
 
 
+def aligned_shares(a: DataFrame, b: DataFrame, shares: tuple[float, float], eps: float = TINY) -> DataFrame:
+    """(i, j, a, b, pa, pb): both graphs aligned, and each edge's part of its row times the graph's share.
+
+    Both are dealt out together and once, by row; sums of rows and of edges are taken there.
+    """
+    rows = a.select("i", "j", F.col("w").alias("a"), F.lit(0.0).alias("b")).unionByName(b.select("i", "j", F.lit(0.0).alias("a"), F.col("w").alias("b")))
+    both = rows.repartition("i").groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    part = lambda c, s: F.col(c) / F.greatest(F.sum(c).over(Window.partitionBy("i")), F.lit(eps)) * s
+    return both.select("i", "j", "a", "b", part("a", shares[0]).alias("pa"), part("b", shares[1]).alias("pb"))
+
+
 def without_loops(edges: DataFrame) -> DataFrame:
     return edges.where("i <> j")
 
@@ -167,11 +178,13 @@ def pair_similarity(a: DataFrame, b: DataFrame, nodes: DataFrame, k: int = 15, e
     return one.crossJoin(F.broadcast(overlap)).select("support_intersection", "support_union", (F.col("support_intersection") / F.greatest("support_union", F.lit(1))).alias("support_jaccard"), corr.alias("edge_weight_correlation"), "topk_neighbor_overlap_mean")
 
 
-def edge_adjustment(reference: DataFrame, before: DataFrame, after: DataFrame, eps: float = EPS) -> DataFrame:
-    """One row: how many candidate edges changed, up and down, and by how much."""
-    keys = reference.select("i", "j").distinct()
-    both = keys.join(before.select("i", "j", F.col("w").alias("a")), ["i", "j"], "left").join(after.select("i", "j", F.col("w").alias("b")), ["i", "j"], "left")
-    d = F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))
+def edge_adjustment(reference: DataFrame | None, before: DataFrame, after: DataFrame, eps: float = EPS) -> DataFrame:
+    """One row: how many candidate edges changed, up and down, and by how much. Without a reference, the candidates are the edges of either graph."""
+    if reference is None:
+        both = aligned(a=before, b=after)
+    else:
+        both = aligned(a=before, b=after, _r=reference.select("i", "j", F.lit(1.0).alias("w"))).where("_r > 0")
+    d = F.col("b") - F.col("a")
     one = both.select(d.alias("d")).agg(F.count("*").alias("total"), F.count_if(F.abs("d") > eps).alias("changed"), F.count_if(F.col("d") > eps).alias("up"), F.count_if(F.col("d") < -eps).alias("down"), F.coalesce(F.avg(F.abs("d")), F.lit(0.0)).alias("mean_abs_delta"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_signed_delta"))
     return one.withColumn("changed_ratio", F.col("changed") / F.greatest("total", F.lit(1)))
 

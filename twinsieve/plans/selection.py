@@ -10,12 +10,13 @@ from twinsieve.functions.scores import subset_size
 from twinsieve.operators import correction, fuzzy, kernels, matching, spectral, wavelet
 from twinsieve.operators import graph as G
 from twinsieve.operators.fusion import confidence_aware, wavelet_latent
-from twinsieve.operators.knn import knn
+from twinsieve.operators.knn import nearest
 from twinsieve.session import settle
 
 
 def modality_graph(features: DataFrame, k: int = 15) -> DataFrame:
-    return fuzzy.multi_scale(knn(features, k), [k])
+    """The fuzzy graph of the k nearest, made symmetric twice."""
+    return fuzzy.union_of_symmetric(fuzzy.listed_graph(settle(nearest(features, k)), k))
 
 
 def unified(image: DataFrame, text: DataFrame, nodes: DataFrame, mode: str = "wavelet_latent", scales: list[int] | None = None, probe_dim: int = 8) -> DataFrame:
