@@ -33,8 +33,7 @@ def union_reference(image: DataFrame, text: DataFrame) -> DataFrame:
 
 def confidence_aware(image: DataFrame, text: DataFrame, shares: tuple[float, float] = (0.5, 0.5), lam: float = 1.0, mu: float = 1.0, eps: float = EPS) -> DataFrame:
     """Edges by their confidence share * P, and a soft gate where both sides have some."""
-    ci, ct = (G.scaled(G.stochastic(g), s) for g, s in zip((image, text), shares, strict=True))
-    both = G.aligned(a=image, b=text, ci=ci, ct=ct)
+    both = G.aligned_shares(image, text, shares).withColumnsRenamed({"pa": "ci", "pb": "ct"})
     x, y = (F.pow(F.greatest(F.col(c), F.lit(0.0)), F.lit(lam)) for c in ("ci", "ct"))
     fused = x / (x + y + eps) * F.col("a") + y / (x + y + eps) * F.col("b")
     return union(G.present(both.select("i", "j", (F.pow(F.col("ci") * F.col("ct") + eps, F.lit(mu)) * fused).alias("w"))))
